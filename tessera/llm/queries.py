@@ -27,6 +27,18 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents(spark, sf_dir))
 
 
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import collapse_and_render
+
+    return collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import line_decisions
+
+    return line_decisions(documents(spark, sf_dir))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.bpe import bpe_digests
 
@@ -39,6 +51,30 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op6_bpe_transducer, op10_source_mix)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op5_line_dedup, op6_bpe_transducer, op10_source_mix)}
+
+ORACLE: dict[str, str] = {
+    "op3_snapshot_collapse": """
+        WITH c AS (
+            SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns,
+                   string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
+                              || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+            FROM conversations GROUP BY conv_id
+        ), one AS (SELECT min(conv_id) AS conv_id, turns, any_value(rendered) AS rendered FROM c GROUP BY turns)
+        SELECT a.conv_id, CAST(len(a.turns) AS INTEGER) AS n_turns, a.rendered FROM one a
+        WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.turns[1] = a.turns[1] AND len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)""",
+    "op5_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, CAST(i AS INTEGER) AS line_no, list_filter(regexp_split_to_array(t[i + 1], '[ \\x09\\x0B-\\x0D]+'), x -> x <> '') AS w
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+        ), k AS (SELECT doc_id, line_no, w FROM l WHERE len(w) > 0),
+        f AS (SELECT w, min(struct_pack(d := doc_id, n := line_no)) AS first FROM k GROUP BY w),
+        v AS (SELECT w, first, -1 AS at, w AS cut FROM f WHERE len(w) >= 10
+              UNION ALL SELECT w, first, at, list_concat(w[1:at], w[at + 2:]) FROM (SELECT w, first, unnest(range(len(w))) AS at FROM f WHERE len(w) >= 10)),
+        near AS (
+            SELECT a.w, min(b.first) AS near FROM v a JOIN v b ON hash(a.cut) = hash(b.cut) AND a.cut = b.cut
+             AND (a.at = b.at OR a.at < 0 OR b.at < 0) AND b.first < a.first GROUP BY a.w
+        ), g AS (SELECT k.doc_id, k.line_no, CASE WHEN struct_pack(d := doc_id, n := line_no) > f.first THEN f.first ELSE near.near END AS x
+                 FROM k JOIN f ON k.w = f.w LEFT JOIN near ON k.w = near.w)
+        SELECT doc_id, line_no, x IS NULL AS kept, x.d AS dup_doc, x.n AS dup_line FROM g""",
+}
