@@ -65,16 +65,16 @@ ORACLE: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.turns[1] = a.turns[1] AND len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)""",
     "op5_line_dedup": """
         WITH l AS (
-            SELECT doc_id, CAST(i AS INTEGER) AS line_no, list_filter(regexp_split_to_array(t[i + 1], '[ \\x09\\x0B-\\x0D]+'), x -> x <> '') AS w
+            SELECT doc_id, CAST(i AS INTEGER) AS line_no, list_filter(regexp_split_to_array(t[i + 1], '[ \\x09\\x0B-\\x0D]+'), lambda x: x <> '') AS w
             FROM (SELECT doc_id, string_split(text, chr(10)) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
         ), k AS (SELECT doc_id, line_no, w FROM l WHERE len(w) > 0),
-        f AS (SELECT w, min(struct_pack(d := doc_id, n := line_no)) AS first FROM k GROUP BY w),
-        v AS (SELECT w, first, -1 AS at, w AS cut FROM f WHERE len(w) >= 10
-              UNION ALL SELECT w, first, at, list_concat(w[1:at], w[at + 2:]) FROM (SELECT w, first, unnest(range(len(w))) AS at FROM f WHERE len(w) >= 10)),
+        f AS (SELECT w, min(struct_pack(d := doc_id, n := line_no)) AS fst FROM k GROUP BY w),
+        v AS (SELECT w, fst, -1 AS pos, w AS cut FROM f WHERE len(w) >= 10
+              UNION ALL SELECT w, fst, pos, list_concat(w[1:pos], w[pos + 2:]) FROM (SELECT w, fst, unnest(range(len(w))) AS pos FROM f WHERE len(w) >= 10)),
         near AS (
-            SELECT a.w, min(b.first) AS near FROM v a JOIN v b ON hash(a.cut) = hash(b.cut) AND a.cut = b.cut
-             AND (a.at = b.at OR a.at < 0 OR b.at < 0) AND b.first < a.first GROUP BY a.w
-        ), g AS (SELECT k.doc_id, k.line_no, CASE WHEN struct_pack(d := doc_id, n := line_no) > f.first THEN f.first ELSE near.near END AS x
+            SELECT a.w, min(b.fst) AS near FROM v a JOIN v b ON hash(a.cut) = hash(b.cut) AND a.cut = b.cut
+             AND (a.pos = b.pos OR a.pos < 0 OR b.pos < 0) AND b.fst < a.fst GROUP BY a.w
+        ), g AS (SELECT k.doc_id, k.line_no, CASE WHEN struct_pack(d := doc_id, n := line_no) > f.fst THEN f.fst ELSE near.near END AS x
                  FROM k JOIN f ON k.w = f.w LEFT JOIN near ON k.w = near.w)
         SELECT doc_id, line_no, x IS NULL AS kept, x.d AS dup_doc, x.n AS dup_line FROM g""",
 }
