@@ -45,13 +45,27 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op9_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.lattice import lattice_scores
+
+    return lattice_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_digest
 
     return mix_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op5_line_dedup, op6_bpe_transducer, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op5_line_dedup, op6_bpe_transducer, op8_near_duplicates, op9_lattice_score, op10_source_mix)}
 
 ORACLE: dict[str, str] = {
     "op3_snapshot_collapse": """
