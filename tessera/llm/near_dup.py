@@ -179,7 +179,6 @@ def components(edges: DataFrame) -> DataFrame:
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = materialize(large, "near-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "near-stars")
@@ -226,7 +225,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     known = ids.withColumn("component", F.col("doc"))
     for turn in range(PIVOTS + 1):
         placed = members.join(known, "doc")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc"), "doc", "component")).alias("pivot")).where("lo != hi")
+        rank = F.xxhash64(F.lit(turn), "doc") if turn else F.col("doc")
+        first_of = F.min(F.struct(rank.alias("rank"), "doc", "component")).alias("pivot")
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first_of).where("lo != hi")
         open_ = materialize(placed.join(open_.select("bucket", F.col("pivot.doc").alias("pivot"), F.col("pivot.component").alias("at")), "bucket"), "near-open")
         if open_.isEmpty():
             break

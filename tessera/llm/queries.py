@@ -45,6 +45,12 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import predicted_languages
+
+    return predicted_languages(documents(spark, sf_dir))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dup import near_duplicates
 
@@ -65,7 +71,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op5_line_dedup, op6_bpe_transducer, op8_near_duplicates, op9_lattice_score, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op5_line_dedup, op6_bpe_transducer, op7_language_id, op8_near_duplicates, op9_lattice_score, op10_source_mix)}
 
 ORACLE: dict[str, str] = {
     "op3_snapshot_collapse": """
