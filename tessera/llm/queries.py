@@ -33,6 +33,12 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op4_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mtree import top_inner_products
+
+    return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import line_decisions
 
@@ -71,7 +77,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op5_line_dedup, op6_bpe_transducer, op7_language_id, op8_near_duplicates, op9_lattice_score, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_snapshot_collapse, op4_metric_tree, op5_line_dedup, op6_bpe_transducer, op7_language_id, op8_near_duplicates, op9_lattice_score, op10_source_mix)}
 
 ORACLE: dict[str, str] = {
     "op3_snapshot_collapse": """
@@ -83,6 +89,16 @@ ORACLE: dict[str, str] = {
         ), one AS (SELECT min(conv_id) AS conv_id, turns, any_value(rendered) AS rendered FROM c GROUP BY turns)
         SELECT a.conv_id, CAST(len(a.turns) AS INTEGER) AS n_turns, a.rendered FROM one a
         WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.turns[1] = a.turns[1] AND len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)""",
+    "op4_metric_tree": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20""",
     "op5_line_dedup": """
         WITH l AS (
             SELECT doc_id, CAST(i AS INTEGER) AS line_no, list_filter(regexp_split_to_array(t[i + 1], '[ \\x09\\x0B-\\x0D]+'), lambda x: x <> '') AS w
