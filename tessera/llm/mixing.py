@@ -113,8 +113,8 @@ def sized(docs: DataFrame, members: Column, keys: tuple[str, ...], seed: int) ->
 def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
     """From :func:`sized` rows, the cut of each pattern and the size and target of each source.
 
-    Cuts: __pattern, copies (of every document), upto (documents whose place is at most this get
-    one more), also (so does the document at this place, the one that best fills what is left).
+    Cuts: __pattern, __copies (of every document), __upto (documents whose place is at most this
+    get one more), __also (so does the document at this place, the one that best fills what is left).
     The order is searched by bucket first, so no pattern's documents are sorted in one task
     but those of one bucket. Rows that agree in all keys are taken or left together.
     """
@@ -156,13 +156,13 @@ def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -
     out = cut.join(F.broadcast(last.select("__pattern", "upto")), "__pattern", "left").join(F.broadcast(extra), "__pattern", "left")
     # A pattern whose quota doesn't end before its last document gives all of them once more.
     upto_all = F.when((F.col("rest") > 0) & F.col("upto").isNull(), F.lit(2**63 - 1)).otherwise(F.col("upto"))
-    return materialize(out.select("__pattern", "copies", upto_all.alias("upto"), "also"), "mix-cuts"), source
+    return materialize(out.select("__pattern", F.col("copies").alias("__copies"), upto_all.alias("__upto"), F.col("also").alias("__also")), "mix-cuts"), source
 
 
 def taken_copies(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """:func:`sized` rows with ``copies``; a map-side join, as cuts have a row a pattern."""
-    more = (F.col("__at") <= F.col("upto")) | F.coalesce(F.col("__at") == F.col("also"), F.lit(False))
-    return rows.join(F.broadcast(cuts), "__pattern").withColumn("copies", F.col("copies") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).drop("upto", "also", "__pattern", "__at")
+    """:func:`sized` rows with ``__copies``; a map-side join, as cuts have a row a pattern."""
+    more = (F.col("__at") <= F.col("__upto")) | F.coalesce(F.col("__at") == F.col("__also"), F.lit(False))
+    return rows.join(F.broadcast(cuts), "__pattern").withColumn("__copies", F.col("__copies") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0))
 
 
 def mix_digest(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
@@ -175,7 +175,7 @@ def mix_digest(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     cuts, source = plan(rows, weights, share, most)
     return (
         taken_copies(rows, cuts).join(F.broadcast(source.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s")))
-        .select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("copies")).alias("taken"))
+        .select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__copies")).alias("taken"))
     )
 
 
@@ -188,4 +188,4 @@ def mix(docs: DataFrame, members: Column, keys: tuple[str, ...], weights: tuple[
     columns = docs.columns
     rows = sized(docs, members, keys, seed)
     cuts, _ = plan(materialize(rows.select("__pattern", "__size", "__at"), "mix-sized"), weights, share, most)
-    return taken_copies(rows, cuts).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return taken_copies(rows, cuts).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
