@@ -36,15 +36,18 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` and read it back."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written` at a fresh path in the shared folder, which cuts the lineage.
 
     Unlike a local checkpoint the files outlive the executor that wrote them.
     """
-    spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, work_path(df.sparkSession, label))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
