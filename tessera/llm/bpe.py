@@ -188,6 +188,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(1)
+def transducer(path: str) -> Transducer:
+    """One a Python worker, with its memo."""
+    return Transducer(path)
+
+
 class Transducer:
     """Text to ids and back, as the tokenizers library gives them without added special tokens.
 
@@ -244,4 +250,4 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: Transducer(path))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: transducer(path))

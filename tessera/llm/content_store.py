@@ -4,9 +4,11 @@ Layout, all Parquet below one folder:
 
 ``chunks``    hash, n_ids, payload: each distinct chunk once; payload is little-endian unsigned
               integers of the store's width, hash the SHA-256 of the payload.
-``recipes``   pos, doc_id, start, n_tokens, chunks (hash and end in ids, in order), root: one row a
-              document, files in ascending doc_id order; root is the SHA-256 of the chunk hashes
-              in order, as lowercase hex.
+``recipes``   shard, at, doc_id, before, n_tokens, chunks (hash and end in ids, in order), root:
+              one row a document, files in ascending doc_id order. A shard is a range of documents
+              in that order; ``at`` counts the documents and ``before`` the ids in front within
+              the shard. root is the SHA-256 of the chunk hashes in order, as lowercase hex.
+``shards``    shard, docs0, ids0: documents and ids in front of each shard.
 ``manifest``  level, node, digest, n_children: Merkle tree over the roots in pos order, ``FANOUT``
               children a node; the one node of the top level stands for the whole store. A store
               without documents has no node.
@@ -17,9 +19,11 @@ moves only the cuts near it and documents that share a passage share its chunks.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import blocks, map_batches
 from tessera.llm.units import UnitMemo
-from tessera.session import materialize, work_path
+from tessera.session import drop_path, work_path, written
 
 FANOUT = 1024
 WINDOW = 32
@@ -72,8 +76,9 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+@functools.lru_cache(1)
 def library_encoder(path: str):
-    """Encodes units with the tokenizers library; values are little-endian 32-bit ids."""
+    """Encodes units with the tokenizers library; values are little-endian 32-bit ids. One a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -117,14 +122,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
     if not 0 <= end_id < 256**id_bytes:
         raise ValueError("end_id does not fit the store's id width")
     spark, width = docs.sparkSession, f"<u{id_bytes}"
-    staged = materialize(
+    staged_path = work_path(spark, "store-staged")
+    staged = written(
         map_batches(
             docs.select(F.col("doc_id").cast("long"), "text"),
             lambda memo, batch: _encode(memo, batch, end_id, width),
             "doc_id long, n_tokens long, root string, chunks array<struct<hash:binary,end:long,payload:binary>>",
             lambda: library_encoder(tokenizer),
         ),
-        "store-staged",
+        staged_path,
     )
     # Copies of a chunk meet in the map-side half of this aggregate, so a chunk that fills a
     # third of the corpus still sends one row a task.
@@ -132,22 +138,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipe = staged.select("doc_id", "n_tokens", "root", F.transform("chunks", lambda c: F.struct(c.hash.alias("hash"), c.end.alias("end"))).alias("chunks"))
-    ranged = materialize(
-        recipe.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("shard", F.spark_partition_id()),
-        "store-ranged",
-    )
-    sums = ranged.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    ranged = recipe.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("shard", F.spark_partition_id())
+    schema = "shard int, at long, doc_id long, before long, n_tokens long, chunks array<struct<hash:binary,end:long>>, root string"
+    ranged.mapInArrow(_numbered, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    sums = spark.read.parquet(f"{path}/recipes").groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.count(F.lit(1)).alias("docs"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard: as many as shuffle partitions
-    offsets = sums.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("d0"))
-    inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    numbered = ranged.withColumn("t", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).withColumn("d", F.row_number().over(inside) - 1)
-    (
-        numbered.join(F.broadcast(offsets), "shard")
-        .select((F.col("d") + F.col("d0")).alias("pos"), "doc_id", (F.col("t") + F.col("t0")).alias("start"), "n_tokens", "chunks", "root")
-        .repartitionByRange(n, "pos").sortWithinPartitions("pos")
-        .write.option("compression", "zstd").parquet(f"{path}/recipes")
-    )
-    level, nodes = 0, spark.read.parquet(f"{path}/recipes").select(F.col("pos").alias("node"), F.col("root").alias("digest"))
+    sums.select("shard", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs0"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids0")).write.parquet(f"{path}/shards")
+    drop_path(spark, staged_path)
+    level, nodes = 0, _recipes(spark, path).select(F.col("pos").alias("node"), F.col("root").alias("digest"))
     while True:
         level += 1
         nodes = _parents(nodes)
@@ -157,6 +155,25 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
             return
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one sorted shard with the documents and ids in front of them."""
+    docs, ids = 0, 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        before = ids + np.cumsum(n) - n
+        at = docs + np.arange(len(n))
+        docs, ids = docs + len(n), ids + int(n.sum())
+        columns = {"at": pa.array(at), "before": pa.array(before)}
+        names = ["shard", "at", "doc_id", "before", "n_tokens", "chunks", "root"]
+        yield pa.RecordBatch.from_arrays([columns[c] if c in columns else batch.column(c) for c in names], names)
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """pos, doc_id, start, n_tokens, chunks, root."""
+    shards = F.broadcast(spark.read.parquet(f"{path}/shards"))  # one row a shard
+    return spark.read.parquet(f"{path}/recipes").join(shards, "shard").select((F.col("docs0") + F.col("at")).alias("pos"), "doc_id", (F.col("ids0") + F.col("before")).alias("start"), "n_tokens", "chunks", "root")
+
+
 def _parents(nodes: DataFrame) -> DataFrame:
     """One Merkle level up; a group holds ``FANOUT`` digests at most."""
     return (
@@ -169,7 +186,7 @@ def _parents(nodes: DataFrame) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The documents again: pos, doc_id, start, n_tokens, ids (array of int), from the files."""
     chunks = spark.read.parquet(f"{path}/chunks")
-    parts = spark.read.parquet(f"{path}/recipes").select("pos", "doc_id", "start", "n_tokens", F.posexplode("chunks").alias("seq", "c")).select("pos", "doc_id", "start", "n_tokens", "seq", "c.hash")
+    parts = _recipes(spark, path).select("pos", "doc_id", "start", "n_tokens", F.posexplode("chunks").alias("seq", "c")).select("pos", "doc_id", "start", "n_tokens", "seq", "c.hash")
     whole = parts.join(chunks.select("hash", "payload"), "hash").groupBy("pos", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
 
     def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -229,7 +246,7 @@ def store_digests(spark: SparkSession, path: str) -> DataFrame:
         out = crc_moved(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("crc", "after")))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pos", "whole", "n_ids")), pa.array(out.astype(np.int64))], ["pos", "whole", "n_ids", "crc"])
 
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     chunks = map_batches(spark.read.parquet(f"{path}/chunks"), digest, "hash binary, n_ids int, crc long, whole boolean")
     parts = recipes.select("pos", "n_tokens", F.inline("chunks")).select("pos", "hash", (4 * (F.col("n_tokens") - F.col("end"))).alias("after"))
     found = map_batches(parts.join(chunks, "hash").select("pos", "whole", "n_ids", "crc", "after"), moved, "pos long, whole boolean, n_ids int, crc long")

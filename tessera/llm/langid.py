@@ -12,6 +12,7 @@ sample of them, ``SAMPLE`` rows, drawn by a hash with equal chances for each lan
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ _STEP = 1 << 20
 _K = np.uint32(0x9E3779B1)
 
 
+@functools.lru_cache(1)
 def letter_table() -> np.ndarray:
     """Whether each character is a letter."""
     return np.array([chr(i).isalpha() for i in range(0x110000)])

@@ -14,6 +14,7 @@ a rolling hash, and the recursion runs over positions.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -38,6 +39,7 @@ GATHER = 400_000
 _P = np.uint64(0x100000001B3)
 
 
+@functools.lru_cache(1)
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a sentencepiece model as bytes, and log weights from their scores.
 
