@@ -8,9 +8,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 EARTH_M = 6_371_000.0
 
 
@@ -57,6 +59,7 @@ def jaro_winkler(a: Column | str, b: Column | str) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else jaro_winkler_text(p, q) for p, q in zip(x, y)], dtype="float64")
 
+    ship(SparkSession.active())
     return run(c(a), c(b))
 
 

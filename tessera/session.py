@@ -56,6 +56,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written(df, work_path(df.sparkSession, label))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a work table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
