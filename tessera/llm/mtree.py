@@ -35,7 +35,7 @@ from tessera.session import materialize, ship
 
 REGIONS = 64
 #: Vectors in a leaf and under an inner node.
-LEAF, INNER = 64, 1024
+LEAF, INNER = 256, 2048
 #: Vectors in a tree, at least; and trees in all, at most: the directory is broadcast.
 CAPACITY, TREES = 8192, 16384
 #: Queries that search a tree in one task.
@@ -171,6 +171,7 @@ def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top) -> list[
     """(score, vec_id, row) of the best entries of a tree. ``bound``: a score that k entries elsewhere reach, or None."""
     square = float(q @ q)
     reach = square + top
+    exact = np.abs(q).max() * np.sqrt(top) * len(q) < 2**52  # no vector has a larger component than sqrt(top)
     slack = _SLACK * (reach + 1)
     at = np.append(q, 0.0)
 
@@ -191,9 +192,15 @@ def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top) -> list[
             some = np.flatnonzero((np.abs(d - out) <= limit) & (rows != own))
             if not len(some):
                 continue
-            scores = _products(q[None], vectors[some])[0]
+            scores = vectors[some] @ q if exact else _products(q[None], vectors[some])[0]
             floor = best[0][0] if len(best) == k else bound
-            for s, j, r in zip(scores.tolist(), ids[some].tolist(), rows[some].tolist()) if floor is None else ((int(scores[x]), int(ids[some[x]]), int(rows[some[x]])) for x in np.flatnonzero(scores >= floor)):
+            if floor is not None:
+                good = np.flatnonzero(scores >= floor)
+                scores, some = scores[good], some[good]
+            if len(scores) > k:  # ties with the k-th stay in
+                good = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                scores, some = scores[good], some[good]
+            for s, j, r in zip(map(int, scores.tolist()), ids[some].tolist(), rows[some].tolist()):
                 if len(best) < k:
                     heapq.heappush(best, (s, -j, r))
                 elif (s, -j) > best[0][:2]:
