@@ -238,8 +238,8 @@ def store_digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
         crc, whole = [], []
         for h, n, p in zip(*(batch.column(c).to_pylist() for c in ("hash", "n_ids", "payload"))):
-            crc.append(zlib.crc32(np.frombuffer(p, dtype=f"<u{len(p) // n}").astype("<u4")))
             whole.append(hashlib.sha256(p).digest() == h)
+            crc.append(zlib.crc32(np.frombuffer(p, dtype=f"<u{len(p) // n}").astype("<u4")) if whole[-1] else 0)
         return pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n_ids"), pa.array(crc, pa.int64()), pa.array(whole, pa.bool_())], ["hash", "n_ids", "crc", "whole"])
 
     def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
