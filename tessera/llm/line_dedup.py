@@ -27,6 +27,8 @@ from tessera.session import materialize
 
 #: One edit changes a tenth of such a line at most.
 MIN_WORDS = 10
+#: Most document ids that are broadcast, some 16 MB; beyond, a join shuffles.
+BROADCAST = 1 << 20
 BLANKS = r"[\x20\x09\x0B-\x0D]+"
 
 ID = ["h1", "h2"]
@@ -77,7 +79,10 @@ def _near(docs: DataFrame, texts: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
     spots = materialize(halves.join(shared, "half").select(*ID).distinct().join(texts.select(*ID, "first"), ID), "line-suspects")
     # Their words, from the place where each stands first.
-    docs = docs.join(spots.select(F.col("first.doc_id").alias("__d")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_semi")
+    # Their documents are few beside all; up to BROADCAST ids they are sent to the documents, which then don't move.
+    ids = materialize(spots.select(F.col("first.doc_id").alias("__d")).distinct(), "line-documents")
+    few = ids.count() <= BROADCAST
+    docs = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_semi")
     lines = lines_of(docs).withColumns(_identity()).withColumn("first", F.struct("doc_id", "line_no")).select(*ID, "first", "words", "n")
     told = materialize(lines.join(spots, [*ID, "first"]).dropDuplicates(ID), "line-words")
 
