@@ -86,7 +86,7 @@ def library_encoder(path: str):
     t.no_truncation(), t.no_padding()
 
     def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(units, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
 
     return UnitMemo(encode)
 
