@@ -6,17 +6,25 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import materialize, ship
 
 #: Texts handled at once inside one Arrow batch.
 BLOCK = 256
+#: Tells the rows of a staged table apart, whatever their doc_id.
+ROW = "__row"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def with_rows(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` written once with ``ROW``, so that every later read sees the same keys."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``setup`` runs once a task and its value goes first to ``fn``."""
 

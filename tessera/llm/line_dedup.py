@@ -3,7 +3,8 @@
 A line is the sequence of its words, parted by blanks. It is a duplicate if an earlier line has
 the same words, or, where both have ``MIN_WORDS`` words at least, the words of an earlier line
 but for one edit: a word inserted, deleted or replaced. Earlier means a smaller (doc_id, line
-number), a null doc_id first. A line without words is never a duplicate.
+number, row), a null doc_id first; the row key, written once with the documents, tells apart rows
+that agree in doc_id. A line without words is never a duplicate.
 
 Each line emits the hashes of itself and of itself without each one of its words. Two lines that
 differ in one word share the variant without it, at the same place; of two lines one insertion
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import ROW, with_rows
 from tessera.session import materialize
 
 #: One edit changes a tenth of such a line at most.
 MIN_WORDS = 10
-#: Most document ids that are broadcast, some 16 MB; beyond, a join shuffles.
+#: Most row keys that are broadcast, some 16 MB; beyond, a join shuffles.
 BROADCAST = 1 << 20
 BLANKS = r"[\x20\x09\x0B-\x0D]+"
 
@@ -35,10 +37,10 @@ ID = ["h1", "h2"]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and words of each line; a null text has no line, an empty one a line without words."""
-    lines = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Row key, doc_id, line_no (from 0) and words of each line of keyed documents; a null text has no line, an empty one a line without words."""
+    lines = docs.select(ROW, F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.filter(F.split("line", BLANKS), lambda w: w != "")
-    return lines.select("doc_id", "line_no", words.alias("words"), F.size(words).alias("n"))
+    return lines.select(ROW, "doc_id", "line_no", words.alias("words"), F.size(words).alias("n"))
 
 
 def _hash(seed: int, *parts: Column) -> Column:
@@ -50,27 +52,26 @@ def _identity() -> dict[str, Column]:
 
 
 def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines with words, narrow: doc_id, line_no, h1 and h2 (their identity), halves (hashes, null for short lines)."""
+    """Lines with words, narrow: row key, doc_id, line_no, h1 and h2 (their identity), halves (hashes, null for short lines)."""
     short, long = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
     halves = [_hash(s, k, F.slice("words", F.lit(1) if s == 0 else F.col("n") - k + 1, k)) for k in (short, long) for s in (0, 1)]
-    return lines_of(docs).where("n > 0").select("doc_id", "line_no", *(c.alias(k) for k, c in _identity().items()), F.when(F.col("n") >= min_words, F.array_distinct(F.array(*halves))).alias("halves"))
+    return lines_of(docs).where("n > 0").select(ROW, "doc_id", "line_no", *(c.alias(k) for k, c in _identity().items()), F.when(F.col("n") >= min_words, F.array_distinct(F.array(*halves))).alias("halves"))
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """All lines with words (doc_id, line_no), and the duplicates with dup_doc, dup_line: what they repeat.
+    """All lines with words (row key, doc_id, line_no) of keyed documents, and the duplicates with dup_doc, dup_line: what they repeat.
 
     The witness is the earliest equal line or, for the first line of its words, the earliest
-    line one edit away. Lines of rows that agree in doc_id are told apart by line number alone
-    and, at equal number, never drop each other. Other columns are ignored.
+    line one edit away. Other columns are ignored.
     """
     keyed = materialize(line_keys(docs, min_words), "line-keys")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "line_no", ROW)
     texts = materialize(keyed.groupBy(*ID).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("halves").alias("halves")), "line-texts")
     near = materialize(_near(docs, texts), "line-near")
     found = texts.where("copies > 1").select(*ID, "first").join(near, ID, "full_outer")
     known = F.when(place > F.col("first"), F.col("first")).otherwise(F.col("near"))
-    dups = keyed.select("doc_id", "line_no", *ID).join(found, ID).select("doc_id", "line_no", known.alias("w")).where("w IS NOT NULL")
-    return keyed.select("doc_id", "line_no"), dups.select("doc_id", "line_no", F.col("w.doc_id").alias("dup_doc"), F.col("w.line_no").alias("dup_line"))
+    dups = keyed.select(ROW, "doc_id", "line_no", *ID).join(found, ID).select(ROW, "doc_id", "line_no", known.alias("w")).where("w IS NOT NULL")
+    return keyed.select(ROW, "doc_id", "line_no"), dups.select(ROW, "doc_id", "line_no", F.col("w.doc_id").alias("dup_doc"), F.col("w.line_no").alias("dup_line"))
 
 
 def _near(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -79,11 +80,11 @@ def _near(docs: DataFrame, texts: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
     spots = materialize(halves.join(shared, "half").select(*ID).distinct().join(texts.select(*ID, "first"), ID), "line-suspects")
     # Their words, from the place where each stands first.
-    # Their documents are few beside all; up to BROADCAST ids they are sent to the documents, which then don't move.
-    ids = materialize(spots.select(F.col("first.doc_id").alias("__d")).distinct(), "line-documents")
+    # Their documents are few beside all; up to BROADCAST keys they are sent to the documents, which then don't move.
+    ids = materialize(spots.select(F.col(f"first.{ROW}").alias(ROW)).distinct(), "line-documents")
     few = ids.count() <= BROADCAST
-    docs = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_semi")
-    lines = lines_of(docs).withColumns(_identity()).withColumn("first", F.struct("doc_id", "line_no")).select(*ID, "first", "words", "n")
+    docs = docs.join(F.broadcast(ids) if few else ids, ROW, "left_semi")
+    lines = lines_of(docs).withColumns(_identity()).withColumn("first", F.struct("doc_id", "line_no", ROW)).select(*ID, "first", "words", "n")
     told = materialize(lines.join(spots, [*ID, "first"]).dropDuplicates(ID), "line-words")
 
     at = told.select(*ID, "first", "n", F.posexplode("words").alias("at", "word"))
@@ -126,11 +127,11 @@ def one_edit(a: str, n: str, b: str, m: str) -> Column:
 
 def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line_no, kept, dup_doc, dup_line of every line with words; the last two are null for a kept line."""
-    lines, dups = duplicate_lines(docs, min_words)
+    lines, dups = duplicate_lines(with_rows(docs.select("doc_id", "text"), "line-docs"), min_words)
     marked = lines.withColumns({"kept": F.lit(True), "dup_doc": F.lit(None).cast("long"), "dup_line": F.lit(None).cast("int")})
-    both = marked.unionByName(dups.select("doc_id", "line_no", F.lit(False).alias("kept"), "dup_doc", "dup_line"))
-    # A place has one row, or two when it is a duplicate; with repeated doc_ids, one decision for the place.
-    return both.groupBy("doc_id", "line_no").agg(F.bool_and("kept").alias("kept"), F.min(F.struct("dup_doc", "dup_line")).alias("all"), F.max(F.when(~F.col("kept"), F.struct("dup_doc", "dup_line"))).alias("w")).select("doc_id", "line_no", "kept", "w.dup_doc", "w.dup_line")
+    both = marked.unionByName(dups.select(ROW, "doc_id", "line_no", F.lit(False).alias("kept"), "dup_doc", "dup_line"))
+    # A line has one row, or two when it is a duplicate.
+    return both.groupBy(ROW, "doc_id", "line_no").agg(F.bool_and("kept").alias("kept"), F.max(F.when(~F.col("kept"), F.struct("dup_doc", "dup_line"))).alias("w")).select("doc_id", "line_no", "kept", "w.dup_doc", "w.dup_line")
 
 
 def drop_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -139,12 +140,13 @@ def drop_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     A document that had words and keeps none goes; one without words stays as it is.
     """
     columns = docs.columns
+    docs = with_rows(docs, "line-docs")
     _, dups = duplicate_lines(docs, min_words)
-    gone = dups.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set("line_no").alias("__gone"))
+    gone = dups.groupBy(ROW).agg(F.collect_set("line_no").alias("__gone"))
     parts = F.split("text", "\n")
     left = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))), lambda i: F.get(parts, i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left").withColumn("text", text).where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = docs.join(gone, ROW, "left").withColumn("text", text).where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

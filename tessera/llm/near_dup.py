@@ -2,7 +2,7 @@
 
 1. Each document becomes the set of its distinct word shingles, as 64-bit hashes, and a
    signature of ``BANDS * ROWS`` minima. Documents with equal sets are one class; the smallest
-   doc_id stands for it, so copies never meet as pairs.
+   row key stands for it, so copies never meet as pairs.
 2. Classes that agree in all rows of a band share a bucket. In a bucket the members are
    compared with one pivot; what a link joins is one component. Only members of different
    components of a bucket go on, with other pivots and in the end with each other, so each link
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import ROW, map_batches, with_rows
 from tessera.session import materialize, ship
 
 BANDS, ROWS = 32, 5
@@ -36,7 +36,7 @@ BATCH = 32
 MISS = 1e-7
 #: Rounds of pivots before the members of different components meet directly.
 PIVOTS = 3
-#: Most ids that are broadcast, some 16 MB; beyond, a join shuffles.
+#: Most row keys that are broadcast, some 16 MB; beyond, a join shuffles.
 BROADCAST = 1 << 20
 #: Most members that one copy of a pivot's set is compared with.
 GROUP = 64
@@ -90,8 +90,8 @@ def _signed(width: int):
         for row in all_.reshape(len(sigs), BANDS, ROWS).transpose(2, 0, 1).astype(np.uint64):
             keys = _mix(keys + row)
         bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in sigs], pa.binary()), bands]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "sig", "bands"])
+        columns = [batch.column(ROW), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in sigs], pa.binary()), bands]
+        return pa.RecordBatch.from_arrays(columns, [ROW, "doc_id", "n_shingles", "d1", "d2", "sig", "bands"])
 
     return run
 
@@ -193,32 +193,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every document.
 
     Linked are documents whose sets' intersection is at least ``percent`` of their union;
-    component_id is the smallest doc_id reachable. Documents without words (null, empty, blank)
-    are linked with nothing. A null doc_id takes part in no link: its component is null and it is
-    kept. Rows with equal doc_id count as one document and are all kept or all not. Other
-    columns are ignored.
+    component_id is the smallest doc_id reachable, null if all are null. Each row is a document
+    of its own, whatever its doc_id: of a component the first row by doc_id, nulls last, is kept.
+    Documents without words (null, empty, blank) are linked with nothing. Other columns are ignored.
     """
+    return _near(with_rows(docs.select("doc_id", "text"), "near-docs"), width, percent).drop(ROW)
+
+
+def _near(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """:func:`near_duplicates` of keyed documents, with their row key."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = materialize(map_batches(docs, _signed(width), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"), "near-signed")
-    linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-classes")
+    docs = docs.select(ROW, F.col("doc_id").cast("long"), "text")
+    signed = materialize(map_batches(docs, _signed(width), f"{ROW} long, doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"), "near-signed")
+    linkable = signed.where("n_shingles > 0")
+    classes = materialize(linkable.groupBy("d1", "d2").agg(F.min(ROW).alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("head")), "near-classes")
 
-    first = linkable.select("doc_id", "d1", "d2", "bands").join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("bucket"))
+    first = linkable.select(ROW, "d1", "d2", "bands").join(classes, ["d1", "d2"]).where(F.col(ROW) == F.col("rep")).select("rep", F.explode("bands").alias("bucket"))
     first = materialize(first, "near-buckets")
     shared = first.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("bucket")
     members = materialize(first.join(shared, "bucket").select("bucket", F.col("rep").alias("doc")).distinct(), "near-members")
 
     ids = materialize(members.select("doc").distinct(), "near-ids")
     few = ids.count() <= BROADCAST
-    only = lambda df: df.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("doc"), "left_semi")
+    only = lambda df: df.join(F.broadcast(ids) if few else ids, F.col(ROW) == F.col("doc"), "left_semi")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc", "found"])
+        return pa.RecordBatch.from_arrays([batch.column(ROW), pa.array([shingles(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc", "found"])
 
-    found = map_batches(only(docs), sets, "doc long, found binary").dropDuplicates(["doc"])
-    whole = only(signed.select("doc_id", "n_shingles", "sig")).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])
+    found = map_batches(only(docs), sets, "doc long, found binary")
+    whole = only(signed.select(ROW, "n_shingles", "sig")).withColumnRenamed(ROW, "doc")
     whole = materialize(whole.join(found, "doc"), "near-sets")
 
     links, tested = None, None
@@ -246,15 +250,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         links = new if links is None else links.unionByName(new)
         known = materialize(ids.join(components(links), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "near-known")
 
-    mine = signed.select("doc_id", "n_shingles", "d1", "d2")
-    mine = mine.join(classes, ["d1", "d2"], "left").join(known.withColumnRenamed("doc", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = mine.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # The first row of each component that joins classes; any other class has its own.
+    joined = classes.join(known.withColumnRenamed("doc", "rep"), "rep")
+    heads = joined.groupBy("component").agg(F.min("head").alias("least"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("component", "least")
+    least = joined.join(heads, "component").select("rep", "least")
+    told = classes.join(least, "rep", "left").select("d1", "d2", F.coalesce("least", "head").alias("head"))
+    mine = signed.select(ROW, "doc_id", "n_shingles", "d1", "d2").join(told, ["d1", "d2"], "left")
+    linked = F.col("n_shingles") > 0
+    return mine.select(ROW, "doc_id", "n_shingles", F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), (~linked | (F.col(f"head.{ROW}") == F.col(ROW))).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those whose component has a smaller doc_id; all columns stay."""
-    gone = materialize(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    """The first row of each component of ``docs``; all columns stay."""
+    columns = docs.columns
+    docs = with_rows(docs, "near-docs")
+    gone = materialize(_near(docs, width, percent).where("NOT kept").select(ROW), "near-gone")
     small = gone.count() <= BROADCAST
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, ROW, "left_anti").select(*columns)

@@ -450,3 +450,21 @@ def test_pipeline(spark, tmp_path):
     last = P.bpe_round_trip(spark, fourth, SF)
     texts = {r.doc_id: r.text for r in fourth.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last.collect())
+
+
+def test_rows_with_null_or_repeated_ids_are_told_apart(spark):
+    """Neither unique lines nor whole documents go with a duplicate that shares their doc_id, and copies among them go."""
+    rows = [(1, "a repeated line"), (None, "unique one\na repeated line"), (None, "unique two\nunique three"), (7, "alpha\na repeated line"), (7, "beta\ngamma"), (7, "beta\ndelta")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kind string")
+    out = line_dedup.drop_duplicate_lines(df)
+    # A null doc_id comes first, so the line at (null, 1) is the one that stays.
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == ["alpha", "beta\ngamma", "delta", "unique one\na repeated line", "unique two\nunique three"]
+    assert line_dedup.line_decisions(df).count() == sum(t.count("\n") + 1 for _, t in rows)
+
+    copies = [(None, "one two three four five six"), (None, "one two three four five six"), (8, "p q r s t u"), (8, "p q r s t u"), (8, "k l m n o p"), (9, "v w x y z"), (None, "v w x y z"), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in copies], "doc_id long, text string, kind string")
+    kept = near_dup.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([copies[0], copies[2], copies[4], copies[5], copies[7]])
+    told = near_dup.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in told) == Counter([(None, None, True), (None, None, False), (8, 8, True), (8, 8, False), (8, 8, True), (9, 9, True), (None, 9, False), (None, None, True)])
