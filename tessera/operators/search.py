@@ -52,8 +52,8 @@ def bm25(index: DataFrame, terms: list[str], key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(idf * tf).alias("score"))
 
 
-def search(index: DataFrame, query: str, key: str, limit: int = 10, offset: int = 0) -> DataFrame:
-    """key, score, rank, total of a page, best first."""
+def matches(index: DataFrame, query: str, key: str) -> DataFrame:
+    """key, score of all documents that a boolean query finds, in no order."""
     wanted = parse(query)
     must, no = {t for m, t in wanted if m == "must"}, {t for m, t in wanted if m == "not"}
     terms = sorted({t for m, t in wanted if m != "not"})
@@ -63,7 +63,12 @@ def search(index: DataFrame, query: str, key: str, limit: int = 10, offset: int
         found = found.join(has.select(key), key, "left_semi")
     if no:
         found = found.join(index.where(F.col("token").isin(sorted(no))).select(key).distinct(), key, "left_anti")
-    return page(found, key, limit, offset)
+    return found
+
+
+def search(index: DataFrame, query: str, key: str, limit: int = 10, offset: int = 0) -> DataFrame:
+    """key, score, rank, total of a page, best first."""
+    return page(matches(index, query, key), key, limit, offset)
 
 
 def page(found: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:

@@ -138,8 +138,10 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A boolean query's matches with their BM25 score."""
-    return Q.search(_index(spark, sf_dir), "the and of NOT hethe", "item_id", 1000).select("item_id", F.round("score", 6).alias("score"), "total")
+    """All matches of a boolean query with their BM25 score and number."""
+    found = Q.matches(_index(spark, sf_dir), "the and of NOT hethe", "item_id")
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.crossJoin(F.broadcast(total)).select("item_id", F.round("score", 6).alias("score"), "total")
 
 
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import importlib
 import pkgutil
 
+import duckdb
 import pytest
 
 import tessera.plans as plans
@@ -25,6 +26,15 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_token_search_returns_all_matches(spark, tmp_path):
+    """More matches than any page holds, against the same SQL."""
+    n = 1500
+    spark.createDataFrame([(i, f"the word{i % 7}" + " and of" * (i % 5)) for i in range(n)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert differing(con, ORACLE["token_search"], QUERIES["token_search"](spark, str(tmp_path))) == (n, 0)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
