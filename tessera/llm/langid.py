@@ -6,6 +6,9 @@ frequency, and a text's vector has length 1. Weights are trained by follow the r
 leader (per-coordinate, with elastic-net penalties) and a temperature is fitted to a part of the
 sample that training doesn't see.
 
+The score says which of the learned languages fits best, not whether one does. That is told by
+the mean log-likelihood of a text's n-grams in its language, against that of the calibration rows.
+
 Document frequencies come from all training documents. The classifier is fitted on a bounded
 sample of them, ``SAMPLE`` rows, drawn by a hash with equal chances for each language.
 """
@@ -31,6 +34,9 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: One in so many sample rows serves calibration alone.
 CALIBRATE = 5
 CLASSES = 1000
+#: Nats an n-gram by which a text may be less likely than its language's median text, and the
+#: number of n-grams at which sampling alone doubles the square of that.
+SLACK, SHORT = 1.5, 100
 UNKNOWN = "und"
 _STEP = 1 << 20
 _K = np.uint32(0x9E3779B1)
@@ -113,13 +119,38 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def shortfall(at: np.ndarray, counts: np.ndarray, logp: np.ndarray, usual: float) -> float:
+    """Nats an n-gram by which a text is less likely than ``usual``, made smaller for short texts."""
+    n = counts.sum()
+    return float((usual - counts @ logp[at] / n) / np.sqrt(1 + SHORT / n))
+
+
+def evidence(learn: list[tuple], check: list[tuple], classes: int) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """N-gram log-probabilities by language, the median text's of each, and the largest shortfall allowed.
+
+    From (places, counts, class) rows; None without calibration rows. A language without any
+    takes the median of all. The limit grows with the spread of the calibration rows.
+    """
+    if not check:
+        return None
+    total = np.zeros((DIM, classes))
+    for at, n, y in learn:
+        total[at, y] += n
+    logp = np.log((total + 0.5) / (total.sum(axis=0) + 0.5 * DIM))
+    mean = np.array([n @ logp[at, y] / n.sum() for at, n, y in check])
+    of = np.array([y for *_, y in check])
+    usual = np.array([np.median(mean[of == y]) if (of == y).any() else np.median(mean) for y in range(classes)])
+    spread = np.quantile([shortfall(at, n, logp[:, y], usual[y]) for at, n, y in check], 0.99)
+    return logp.astype(np.float32), usual, max(SLACK, 2 * float(spread))
+
+
 def fold(modulus: int = 5) -> Column:
     """CRC-32 of doc_id as text modulo ``modulus``; a null doc_id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float] | None:
-    """Languages, idf, weights, biases and temperature from doc_id, text and lang (not null); None without rows."""
+def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float, tuple | None] | None:
+    """Languages, idf, weights, biases, temperature and :func:`evidence` from doc_id, text and lang (not null); None without rows."""
     ship(train.sparkSession)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,38 +184,44 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
         return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["key", "lang", "at", "n"])
 
     drawn = map_batches(keyed.where(F.col("key") <= last).select("key", "lang", "text"), count, "key double, lang string, at array<int>, n array<int>", letter_table).toArrow().sort_by("key")
-    rows = [(at := np.asarray(a.values), vector(at, np.asarray(c.values), idf), names.index(y)) for a, c, y in zip(drawn["at"], drawn["n"], drawn["lang"].to_pylist())]
-    rows = [r for r in rows if len(r[0])]
+    told = [(np.asarray(a.values), np.asarray(c.values), names.index(y)) for a, c, y in zip(drawn["at"], drawn["n"], drawn["lang"].to_pylist())]
+    told = [r for r in told if len(r[0])]
+    rows = [(at, vector(at, c, idf), y) for at, c, y in told]
     learn = [r for i, r in enumerate(rows) if i % CALIBRATE or len(rows) < 2 * CALIBRATE]
     w, b = train_ftrl(learn, len(names))
     check = rows[::CALIBRATE] if len(rows) >= 2 * CALIBRATE else []
     logits = np.array([x @ w[at] + b for at, x, _ in check]).reshape(len(check), len(names))
-    return names, idf, w, b, temperature(logits, np.array([y for *_, y in check], int))
+    floors = evidence([r for i, r in enumerate(told) if i % CALIBRATE], told[::CALIBRATE] if check else [], len(names))
+    return names, idf, w, b, temperature(logits, np.array([y for *_, y in check], int)), floors
 
 
 def identify(docs: DataFrame, model: tuple | None, columns: tuple[str, ...] = ("doc_id", "held_out")) -> DataFrame:
-    """``columns``, lang_pred and score of each row's ``text``.
+    """``columns``, lang_pred, score and known of each row's ``text``.
 
-    A null text or one without letters is ``und`` with score 0; so is every text without a model.
+    A null text or one without letters is ``und`` with score 0 and not known; so is every text
+    without a model. Known is a text that its language makes likely enough, or any text with
+    letters where the model has no calibration rows.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(letters: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = [], []
+        langs, scores, known = [], [], []
         for text in batch.column("text").to_pylist():
             at, n = features(text, letters)
             if not len(at) or shared.value is None:
-                langs.append(UNKNOWN), scores.append(0.0)
+                langs.append(UNKNOWN), scores.append(0.0), known.append(False)
                 continue
-            names, idf, w, b, t = shared.value
+            names, idf, w, b, t, floors = shared.value
             s = (vector(at, n, idf) @ w[at] + b) / t
             p = np.exp(s - s.max())
-            langs.append(names[int(p.argmax())]), scores.append(float(p.max() / p.sum()))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            y = int(p.argmax())
+            langs.append(names[y]), scores.append(float(p.max() / p.sum()))
+            known.append(floors is None or shortfall(at, n, floors[0][:, y], floors[1][y]) <= floors[2])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], [*columns, "lang_pred", "score", "known"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return map_batches(docs.select(*columns, "text"), predict, f"{kinds}, lang_pred string, score double", letter_table)
+    return map_batches(docs.select(*columns, "text"), predict, f"{kinds}, lang_pred string, score double, known boolean", letter_table)
 
 
 def language_model(docs: DataFrame, sample: int = SAMPLE) -> tuple | None:
@@ -197,11 +234,16 @@ def predicted_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Rows with equal doc_id stay rows of their own. A learned language may itself be named ``und``.
     """
-    return identify(docs.select(F.col("doc_id").cast("long"), "text", (fold() == 0).alias("held_out")), language_model(docs, sample))
+    return identify(docs.select(F.col("doc_id").cast("long"), "text", (fold() == 0).alias("held_out")), language_model(docs, sample)).drop("known")
 
 
 def keep_known_language(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without those whose language is ``und`` or whose score is below ``least``; all columns stay."""
-    columns = docs.columns
-    told = identify(docs.withColumn("__all", F.struct(*columns)), language_model(docs, sample), ("__all",))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__all.*")
+    """``docs`` in a known language; all columns stay.
+
+    Out go texts without letters, texts that their language makes too unlikely, and those whose
+    score is nearer to chance, 1 of all languages, than ``least`` of the way to 1.
+    """
+    columns, model = docs.columns, language_model(docs, sample)
+    told = identify(docs.withColumn("__all", F.struct(*columns)), model, ("__all",))
+    chance = 1 / len(model[0]) if model else 0.0
+    return told.where((F.col("lang_pred") != UNKNOWN) & F.col("known") & (F.col("score") >= chance + least * (1 - chance))).select("__all.*")

@@ -468,3 +468,15 @@ def test_rows_with_null_or_repeated_ids_are_told_apart(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([copies[0], copies[2], copies[4], copies[5], copies[7]])
     told = near_dup.near_duplicates(df).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in told) == Counter([(None, None, True), (None, None, False), (8, 8, True), (8, 8, False), (8, 8, True), (9, 9, True), (None, 9, False), (None, None, True)])
+
+
+def test_language_rejects_gibberish_and_unlearned_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("char_length(text) > 200")
+    r = random.Random(5)
+    odd = [(10_000 + i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(r.choice((60, 300, 3000)))), None) for i in range(40)]
+    odd += [(20_000, "Все люди рождаются свободными и равными в своем достоинстве и правах.", None), (20_001, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", None)]
+    # French is there, but without a label nothing learns it.
+    mixed = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang"))).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    kept = {x.doc_id for x in langid.keep_known_language(mixed).collect()}
+    rows = docs.collect()
+    assert kept == {x.doc_id for x in rows if x.lang != "fr"} and any(x.lang == "fr" for x in rows)
