@@ -113,11 +113,13 @@ def tracks(data: bytes) -> list[dict]:
     """Of each track: handler, codec, timescale, duration, sample offsets, sizes and sync sample numbers (from 0).
 
     Without ``stss`` each sample is a sync sample, as the format says. ValueError if the boxes
-    or tables contradict each other.
+    or tables contradict each other, and for movie fragments, whose samples aren't decoded.
     """
     found: list[dict] = []
     for name, body, stop in walk(data):
         kind = name.rpartition("/")[2]
+        if kind == "moof":
+            raise ValueError("movie fragments aren't decoded")
         if kind == "trak":
             found.append({})
         elif found and "/trak/" in name:

@@ -480,3 +480,8 @@ def test_language_rejects_gibberish_and_unlearned_languages(spark):
     kept = {x.doc_id for x in langid.keep_known_language(mixed).collect()}
     rows = docs.collect()
     assert kept == {x.doc_id for x in rows if x.lang != "fr"} and any(x.lang == "fr" for x in rows)
+
+
+def test_fragmented_files_are_not_passed_as_empty():
+    file = media.write_track(bytes(384)) + media._box(b"moof", media._box(b"traf"))
+    assert "fragments" in media.describe(file)["error"] and "error" not in media.describe(media.write_track(bytes(384)))
