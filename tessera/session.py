@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -68,6 +68,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Tables:
+    """Work tables of one operator by name; each goes as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self._spark, self._label, self._paths = spark, label, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """:func:`materialize` under a name; a table of that name is forgotten, not dropped."""
+        self._paths[name] = work_path(self._spark, f"{self._label}-{name}")
+        return written(df, self._paths[name])
+
+    def measured(self, name: str, df: DataFrame, *columns: str) -> tuple[DataFrame, tuple[int, int | None]]:
+        """:meth:`write`, with the number of rows and the exclusive or of their hashes over ``columns``, both taken while writing."""
+        seen = Observation()
+        told = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("x")
+        out = self.write(name, df.observe(seen, *told))
+        return out, (seen.get["n"], seen.get["x"])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self._paths:
+                drop_path(self._spark, self._paths.pop(name))
+
+
 _shipped: set[str] = set()
 
 
