@@ -28,10 +28,11 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     first, and count by that order, not by their numbers. Null roles and texts equal each other
     and differ from empty ones. Rows with a null conv_id form one conversation.
     """
-    ordered = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "t1", "t2")
+    ordered = Window.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
     told = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    rows = turns.select("conv_id", "turn", "role", F.xxhash64(F.lit(1), *told).alias("t1"), F.xxhash64(F.lit(2), *told).alias("t2"))
-    placed = rows.withColumn("n", F.row_number().over(ordered))
+    # Rows that agree in all three are equal, so their order doesn't matter.
+    rows = turns.select("conv_id", "turn", "role", "text", F.row_number().over(ordered).alias("n"))
+    placed = rows.select("conv_id", "n", F.xxhash64(F.lit(1), *told).alias("t1"), F.xxhash64(F.lit(2), *told).alias("t2"))
     upto = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     prefix = {k: F.bit_xor(F.xxhash64(F.lit(s), "n", t)).over(upto) for k, s, t in (("h1", 3, "t1"), ("h2", 4, "t2"))}
     last = F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")).isNull()
@@ -52,12 +53,10 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     Each turn is ``<|im_start|>role\\ntext<|im_end|>\\n``; a null role is written ``unknown``, a
     null text as an empty one.
     """
-    of = kept.withColumnRenamed("conv_id", "__c")
-    mine = turns.select("conv_id", "turn", "role", "text").join(of, F.col("conv_id").eqNullSafe(F.col("__c")))
-    told = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    turn = F.concat(F.lit(START), _plain(F.coalesce("role", F.lit("unknown"))), F.lit("\n"), _plain(F.coalesce("text", F.lit(""))), F.lit(f"{END}\n"))
-    order = F.struct("turn", "role", F.xxhash64(F.lit(1), *told).alias("t1"), F.xxhash64(F.lit(2), *told).alias("t2"), turn.alias("shown"))
-    return mine.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(order)).alias("all")).select("conv_id", "n_turns", F.array_join(F.col("all.shown"), "").alias("rendered"))
+    of = kept.select(F.col("conv_id").alias("of"), "n_turns")
+    mine = turns.select("conv_id", "turn", "role", "text").join(of, F.col("conv_id").eqNullSafe(F.col("of")))
+    told = F.transform("all", lambda t: F.concat(F.lit(START), _plain(F.coalesce(t.role, F.lit("unknown"))), F.lit("\n"), _plain(F.coalesce(t.text, F.lit(""))), F.lit(f"{END}\n")))
+    return mine.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("all")).select("conv_id", "n_turns", F.array_join(told, "").alias("rendered"))
 
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:

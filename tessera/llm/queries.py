@@ -82,9 +82,9 @@ QUERIES = {f.__name__: f for f in (op1_content_store, op2_media_columns, op3_sna
 ORACLE: dict[str, str] = {
     "op3_snapshot_collapse": """
         WITH c AS (
-            SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS turns,
+            SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
                    string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
-                              || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+                              || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
             FROM conversations GROUP BY conv_id
         ), one AS (SELECT min(conv_id) AS conv_id, turns, any_value(rendered) AS rendered FROM c GROUP BY turns)
         SELECT a.conv_id, CAST(len(a.turns) AS INTEGER) AS n_turns, a.rendered FROM one a
