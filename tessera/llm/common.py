@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import materialize, ship
 
 #: Texts handled at once inside one Arrow batch.
-BLOCK = 256
-#: Tells the rows of a staged table apart, whatever their doc_id.
-ROW = "__row"
+BLOCK = 1024
+#: Tells the rows of a staged table apart, whatever their doc_id; and holds their other columns.
+ROW, REST = "__row", "__rest"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_rows(docs: DataFrame, label: str) -> DataFrame:
-    """``docs`` written once with ``ROW``, so that every later read sees the same keys."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+    """``ROW``, doc_id, text and, if there are more, the other columns in the struct ``REST``, written once.
+
+    Every later read sees the same keys, and no other column can clash with those of an operator.
+    """
+    rest = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return materialize(docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", "text", *([F.struct(*rest).alias(REST)] if rest else [])), label)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def restored(name: str) -> Column:
+    """A column of the documents behind :func:`with_rows`."""
+    return F.col(name if name in ("doc_id", "text") else f"{REST}.{quoted(name)}").alias(name)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROW, map_batches, with_rows
+from tessera.llm.common import ROW, map_batches, restored, with_rows
 from tessera.session import Tables, ship
 
 BANDS, ROWS = 32, 5
@@ -336,4 +336,4 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     docs, t = with_rows(docs, "near-docs"), Tables(docs.sparkSession, "near")
     gone, (n, _) = t.measured("gone", _near(t, docs, width, percent).where("NOT kept").select(ROW), ROW)
     t.drop("told", "heads")
-    return docs.join(F.broadcast(gone) if n <= BROADCAST else gone, ROW, "left_anti").select(*columns)
+    return docs.join(F.broadcast(gone) if n <= BROADCAST else gone, ROW, "left_anti").select(*map(restored, columns))

@@ -105,10 +105,12 @@ ORACLE: dict[str, str] = {
             FROM (SELECT doc_id, string_split(text, chr(10)) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
         ), k AS (SELECT doc_id, line_no, w FROM l WHERE len(w) > 0),
         f AS (SELECT w, min(struct_pack(d := doc_id, n := line_no)) AS fst FROM k GROUP BY w),
-        v AS (SELECT w, fst, -1 AS pos, w AS cut FROM f WHERE len(w) >= 10
-              UNION ALL SELECT w, fst, pos, list_concat(w[1:pos], w[pos + 2:]) FROM (SELECT w, fst, unnest(range(len(w))) AS pos FROM f WHERE len(w) >= 10)),
+        u AS (SELECT w, fst, len(w) >= 10 AS by_word, array_to_string(w, ' ') AS s FROM f WHERE len(w) >= 10 OR length(array_to_string(w, ' ')) >= 20),
+        v AS (SELECT w, fst, by_word, -1 AS pos, s AS cut FROM u
+              UNION ALL SELECT w, fst, by_word, pos, array_to_string(list_concat(w[1:pos], w[pos + 2:]), ' ') FROM (SELECT *, unnest(range(len(w))) AS pos FROM u WHERE by_word)
+              UNION ALL SELECT w, fst, by_word, pos, substring(s, 1, pos) || substring(s, pos + 2) FROM (SELECT *, unnest(range(length(s))) AS pos FROM u WHERE NOT by_word)),
         near AS (
-            SELECT a.w, min(b.fst) AS near FROM v a JOIN v b ON hash(a.cut) = hash(b.cut) AND a.cut = b.cut
+            SELECT a.w, min(b.fst) AS near FROM v a JOIN v b ON a.by_word = b.by_word AND a.cut = b.cut
              AND (a.pos = b.pos OR a.pos < 0 OR b.pos < 0) AND b.fst < a.fst GROUP BY a.w
         ), g AS (SELECT k.doc_id, k.line_no, CASE WHEN struct_pack(d := doc_id, n := line_no) > f.fst THEN f.fst ELSE near.near END AS x
                  FROM k JOIN f ON k.w = f.w LEFT JOIN near ON k.w = near.w)

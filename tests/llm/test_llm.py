@@ -165,21 +165,27 @@ def words(line):
 
 
 def edits(a, b):
-    """Whether two word sequences are one edit apart or equal."""
+    """Whether two sequences are one edit apart or equal."""
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
     a, b = sorted((a, b), key=len)
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute_lines(rows, least=10):
+def units_of(w, least=10, chars=20):
+    """What an edit changes in a line: its words, its characters, or nothing."""
+    return ("words", w) if len(w) >= least else ("chars", " ".join(w)) if len(" ".join(w)) >= chars else None
+
+
+def brute_lines(rows):
     places = [((d is not None, d or 0), i, words(x)) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if words(x)]
     first, near = {}, {}
     for d, i, w in sorted(places):
         first.setdefault(w, (d, i))
-    long = sorted(((p, w) for w, p in first.items() if len(w) >= least))
-    for k, (p, w) in enumerate(long):
-        near[w] = next((q for q, v in long[:k] if q < p and edits(v, w)), None)
+    for kind in ("words", "chars"):
+        some = sorted((p, u[1], w) for w, p in first.items() if (u := units_of(w)) and u[0] == kind)
+        for k, (p, u, w) in enumerate(some):
+            near[w] = next((q for q, v, _ in some[:k] if q < p and edits(v, u)), None)
     return {(d, i): first[w] if (d, i) != first[w] else near.get(w) for d, i, w in places}
 
 
@@ -197,7 +203,14 @@ def test_line_dedup_near(spark):
             k, i = r.randrange(3), r.randrange(len(w))
             w[i : i + (k > 0)] = [r.choice("abxy")] * (k < 2)
         lines.append((" " * r.randrange(3)).join(["", " ".join(w)]))
-    rows = [(i, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(50)] + [(None, lines[0]), (60, None), (61, ""), (62, "\n \n")]
+    short = ["das ist keine lange Zeile", "漢字かな交じりの文には空白がないので一語になる𠀀", "tiny line"]
+    for _ in range(120):
+        c = list(r.choice(short))
+        for _ in range(r.randrange(3)):
+            k, i = r.randrange(3), r.randrange(len(c))
+            c[i : i + (k > 0)] = [r.choice("ab 漢𠀀")] * (k < 2)
+        lines.append("".join(c))
+    rows = [(i, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(70)] + [(None, lines[0]), (80, None), (81, ""), (82, "\n \n")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, first int")
     want = brute_lines(rows)
     got = {((r.doc_id is not None, r.doc_id or 0), r.line_no): r for r in line_dedup.line_decisions(df).collect()}
@@ -205,7 +218,7 @@ def test_line_dedup_near(spark):
     for k, w in want.items():
         assert got[k].kept == (w is None) and (w is None or ((got[k].dup_doc is not None, got[k].dup_doc or 0), got[k].dup_line) == w)
     out = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(df).collect()}
-    assert out[60] is None and out[61] == "" and out[62] == "\n \n" and len(out) < len(rows)
+    assert out[80] is None and out[81] == "" and out[82] == "\n \n" and len(out) < len(rows)
 
 
 def test_line_dedup_of_odd_rows(spark, odd, empty):
