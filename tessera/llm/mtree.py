@@ -15,7 +15,12 @@ Search: a query first searches the tree that holds it, which bounds its k-th bes
 goes to the other trees whose covering radius doesn't rule them out. In a tree nodes come in the
 order of their best possible score. A distance is computed only where the stored distances
 don't already exclude the node or entry: |d(q, parent) - d(object, parent)| is a lower bound.
-Bounds get a slack for rounding; scores are exact integers.
+Bounds get a slack for rounding; scores are exact integers, and beyond 64 bits the nearest 64-bit
+integer, where they tie.
+
+Components are kept as doubles, which hold each integer floor(64 x) exactly. Products that a double
+or a 64-bit integer may not hold are made of Python's integers. Where norms are too large for
+doubles, nothing is excluded by distance.
 """
 
 from __future__ import annotations
@@ -36,23 +41,24 @@ from tessera.session import materialize, ship
 REGIONS = 64
 #: Vectors in a leaf and under an inner node.
 LEAF, INNER = 256, 2048
-#: Vectors in a tree, at least; and trees in all, at most: the directory is broadcast.
-CAPACITY, TREES = 8192, 16384
+#: Vectors in a tree, at least; and trees and bytes of the broadcast directory, about.
+CAPACITY, TREES, DIRECTORY = 8192, 16384, 64 << 20
+#: Dimensions, the most frequent ones, that have routing vectors; trees of others are dealt by hash alone.
+ROUTED = 64
 #: Queries that search a tree in one task.
 QUERIES = 4096
-#: Larger quantized components are refused: scores must fit 64 bits.
-LARGEST = 1 << 26
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 _SLACK = 1e-7
 
 
 def quantize(df: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """row, vec_id, dim, v (floor(scale * x) of each component as little-endian 32-bit integers), norm2.
+    """row, vec_id, dim, v (floor(scale * x) of each component as little-endian doubles), norm2.
 
-    Rows with a null vec_id, a null or empty vector, or a null or non-finite component are left
-    out. Rows with equal vec_id stay rows of their own. ValueError beyond ``LARGEST``.
+    Rows with a null vec_id, a null or empty vector, or a component that is null or not finite,
+    before or after scaling, are left out. Rows with equal vec_id stay rows of their own.
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
-    finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scale * x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("e") > 0) & finite)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -60,27 +66,28 @@ def quantize(df: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding:
         e = batch.column("e")
         ends, values = np.asarray(e.offsets), np.asarray(e.values)
         for a, b in zip(ends[:-1], ends[1:]):
-            x = np.floor(scale * values[a:b])
-            if np.abs(x).max() > LARGEST:
-                raise ValueError("a component is too large")
-            vectors.append(x.astype("<i4").tobytes())
-            norms.append(float((x * x).sum()))
+            x = np.floor(scale * values[a:b]) + 0.0
+            vectors.append(x.astype("<f8").tobytes())
+            with np.errstate(over="ignore"):
+                norms.append(float((x * x).sum()))
         return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(np.diff(ends).astype(np.int32)), pa.array(vectors, pa.binary()), pa.array(norms)], ["row", "vec_id", "dim", "v", "norm2"])
 
     return map_batches(rows, run, "row long, vec_id long, dim int, v binary, norm2 double")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, dim).astype(float)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors, as integers; in floating point where that is exact."""
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)), np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**52:
-        return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+def _scores(vectors: np.ndarray, q: np.ndarray, largest: float) -> np.ndarray:
+    """Exact inner products of integer vectors with one, within 64 bits; ``largest``: no component of ``vectors`` is larger."""
+    most = largest * np.abs(q).max() * len(q)
+    if most < 2**52:
+        return (vectors @ q).astype(np.int64)
+    if most < 2**62 and max(largest, np.abs(q).max()) < 2**62:
+        return vectors.astype(np.int64) @ q.astype(np.int64)
+    own = [*map(int, q.tolist())]
+    return np.array([min(MOST, max(LEAST, sum(x * int(y) for x, y in zip(own, v)))) for v in vectors.tolist()], np.int64)
 
 
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -88,6 +95,13 @@ def _lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.sqrt(np.maximum(top - (x * x).sum(axis=-1), 0.0))
 
 
+def _points(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors in the metric space; the origin where it has no finite distances, so that nothing is excluded there."""
+    if not np.isfinite(8 * top):
+        return np.zeros((len(x), x.shape[1] + 1))
+    return np.concatenate([x, _lift(x, top)[:, None]], axis=1)
+
+
 def _halves(points: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
     """Row sets of at most ``most``, cut across the line between two far points."""
     if len(rows) <= most:
@@ -120,7 +134,7 @@ def _build(top: float):
         dim, tree = table["dim"][0].as_py(), table["tree"][0].as_py()
         table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
         v = _matrix(table["v"], dim)
-        points = np.concatenate([v, _lift(v, top)[:, None]], axis=1)
+        points = _points(v, top)
         ids, rows = table["vec_id"].to_numpy(), table["row"].to_numpy()
         nodes: list[dict] = []
 
@@ -129,7 +143,7 @@ def _build(top: float):
             up = float(np.sqrt(((center - np.frombuffer(nodes[parent]["center"])) ** 2).sum())) if nodes else 0.0
             entry = {"dim": dim, "tree": tree, "node": len(nodes), "parent": parent, "center": center.tobytes(), "radius": float(out.max()), "up": up, "rows": None, "ids": None, "vectors": None, "out": None}
             if leaf:
-                entry |= {"rows": rows[members].astype("<i8").tobytes(), "ids": ids[members].astype("<i8").tobytes(), "vectors": v[members].astype("<i4").tobytes(), "out": out.tobytes()}
+                entry |= {"rows": rows[members].astype("<i8").tobytes(), "ids": ids[members].astype("<i8").tobytes(), "vectors": v[members].astype("<f8").tobytes(), "out": out.tobytes()}
             nodes.append(entry)
             return entry["node"]
 
@@ -156,7 +170,7 @@ def _search(k: int, top: float):
             for n in nodes[1:]:
                 below[n["parent"]].append(n["node"])
             kids = [np.array(b, int) for b in below]
-            leaf = {n["node"]: (np.frombuffer(n["rows"], "<i8"), np.frombuffer(n["ids"], "<i8"), np.frombuffer(n["vectors"], "<i4").reshape(-1, dim).astype(float), np.frombuffer(n["out"])) for n in nodes if n["rows"] is not None}
+            leaf = {n["node"]: (np.frombuffer(n["rows"], "<i8"), np.frombuffer(n["ids"], "<i8"), np.frombuffer(n["vectors"], "<f8").reshape(-1, dim), np.frombuffer(n["out"])) for n in nodes if n["rows"] is not None}
             q = _matrix(queries["v"], dim)
             bound = queries["bound"].to_pylist()
             for i, (own, own_id) in enumerate(zip(queries["row"].to_pylist(), queries["vec_id"].to_pylist())):
@@ -167,17 +181,30 @@ def _search(k: int, top: float):
     return run
 
 
-def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top) -> list[tuple[int, int, int]]:
-    """(score, vec_id, row) of the best entries of a tree. ``bound``: a score that k entries elsewhere reach, or None."""
-    square = float(q @ q)
-    reach = square + top
-    exact = np.abs(q).max() * np.sqrt(top) * len(q) < 2**52  # no vector has a larger component than sqrt(top)
+def _far(score: int | None, reach: float) -> float:
+    """Beyond this distance scores are below ``score``; ``reach`` is the sum of the squares of the query and the largest vector."""
+    if score is None or score <= LEAST or not np.isfinite(8 * reach):
+        return np.inf
     slack = _SLACK * (reach + 1)
-    at = np.append(q, 0.0)
+    return np.sqrt(max(reach - 2.0 * score + slack, 0.0)) + np.sqrt(slack) * 1e-3
+
+
+def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top, computed: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(score, vec_id, row) of the best entries of a tree. ``bound``: a score that k entries elsewhere reach, or None.
 
-    def far(score: float | None) -> float:
-        """Beyond this distance scores are below ``score``."""
-        return np.inf if score is None else np.sqrt(max(reach - 2 * score + slack, 0.0)) + np.sqrt(slack) * 1e-3
+    ``computed`` gets the number of distances and products computed in each node.
+    """
+    largest = np.sqrt(top)  # no vector has a larger component
+    with np.errstate(over="ignore"):
+        reach = float(q @ q) + top
+    at = np.append(q, 0.0) if np.isfinite(8 * reach) else np.zeros(len(q) + 1)
+
+    def far(score: int | None) -> float:
+        return _far(score, reach)
+
+    def note(n: int) -> None:
+        if computed is not None:
+            computed.append(n)
 
     best: list[tuple[int, int, int]] = []  # a heap with the worst first: score, -vec_id, row
     limit = far(bound)
@@ -192,7 +219,8 @@ def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top) -> list[
             some = np.flatnonzero((np.abs(d - out) <= limit) & (rows != own))
             if not len(some):
                 continue
-            scores = vectors[some] @ q if exact else _products(q[None], vectors[some])[0]
+            note(len(some))
+            scores = _scores(vectors[some], q, largest)
             floor = best[0][0] if len(best) == k else bound
             if floor is not None:
                 good = np.flatnonzero(scores >= floor)
@@ -211,6 +239,7 @@ def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top) -> list[
         some = kids[node]
         some = some[np.abs(d - up[some]) - radius[some] <= limit]  # these need a distance
         if len(some):
+            note(len(some))
             ds = np.sqrt(((centers[some] - at) ** 2).sum(axis=1))
             for x, dx in zip(some.tolist(), ds.tolist()):
                 if dx - radius[x] <= limit:
@@ -221,27 +250,32 @@ def _best_first(q, own, bound, centers, radius, up, kids, leaf, k, top) -> list[
 def build(vectors: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, float]:
     """The pages of all trees, the tree of each row, and the square of the largest norm."""
     spark = vectors.sparkSession
-    sums = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("top")).limit(1000).collect()
-    if len(sums) == 1000:
-        raise ValueError("too many different dimensions")
-    top, total = max((r["top"] for r in sums), default=0.0), sum(r["n"] for r in sums)
-    capacity = max(capacity, -(-2 * total // TREES))
+    sums = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("top"))
+    whole = sums.agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.max("dim").alias("dim")).head()
+    top, total = whole["top"] or 0.0, whole["n"] or 0
+    trees = max(REGIONS, min(TREES, DIRECTORY // (8 * ((whole["dim"] or 0) + 1))))
+    capacity = max(capacity, -(-2 * total // trees))
+    # Only dimensions that don't fit one tree are routed; a dimension without routing vectors has one region.
+    large = sums.where(F.col("n") > capacity).orderBy(F.desc("n"), "dim").limit(ROUTED).collect()
     routing = {}
-    for r in sums:
+    for r in large:
         some = vectors.where(F.col("dim") == r["dim"]).select("v").orderBy(F.xxhash64("v"), "v").limit(REGIONS).collect()
-        routing[r["dim"]] = np.frombuffer(b"".join(x["v"] for x in some), "<i4").reshape(-1, r["dim"]).astype(float)
+        routing[r["dim"]] = np.frombuffer(b"".join(x["v"] for x in some), "<f8").reshape(-1, r["dim"])
 
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for dim, v in zip(batch.column("dim").to_pylist(), batch.column("v").to_pylist()):
-            x, c = np.frombuffer(v, "<i4").astype(float), routing[dim]
+            if (c := routing.get(dim)) is None or not np.isfinite(8 * top):
+                out.append(0)
+                continue
+            x = np.frombuffer(v, "<f8")
             out.append(int((c @ x + _lift(c, top) * _lift(x, top)).argmax()))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "region"])
 
     placed = materialize(map_batches(vectors, assign, "row long, vec_id long, dim int, v binary, norm2 double, region int"), "mtree-regions")
-    sizes = placed.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / capacity).cast("int").alias("parts"))  # REGIONS rows a dimension
+    sizes = placed.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / capacity).cast("int").alias("parts"))
     tree = F.concat_ws("/", "region", F.pmod(F.xxhash64("row"), F.col("parts")))
-    placed = placed.join(F.broadcast(sizes), ["dim", "region"]).withColumn("tree", tree).drop("region", "parts")
+    placed = placed.join(sizes, ["dim", "region"]).withColumn("tree", tree).drop("region", "parts")
     ship(spark)
     pages = materialize(placed.select("dim", "tree", "row", "vec_id", "v").groupBy("dim", "tree").applyInArrow(_build(top), NODE), "mtree-pages")
     return pages, placed, top
@@ -277,7 +311,10 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     home = materialize(_ranked(_visit(pages, queries.withColumn("bound", F.lit(None).cast("long")), k, top), k), "mtree-home")
     bounds = home.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("bound"))
     waiting = queries.withColumnRenamed("tree", "home").join(bounds, "row", "left")
-    directory = pages.where("node = 0").select("dim", "tree", "center", "radius").limit(4 * TREES).toArrow()  # a row a tree
+    # A query of a dimension with one tree has been there. Other dimensions have some ``trees`` trees
+    # in all, as each holds more than ``capacity`` vectors.
+    several = pages.where("node = 0").groupBy("dim").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("dim")
+    directory = pages.where("node = 0").select("dim", "tree", "center", "radius").join(several, "dim", "left_semi").toArrow()
     of = {}
     for dim in set(directory["dim"].to_pylist()):
         some = directory.filter(pyarrow.compute.equal(directory["dim"], dim))
@@ -287,11 +324,15 @@ def search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
         trees = []
         for dim, home_tree, v, bound in zip(*(batch.column(c).to_pylist() for c in ("dim", "home", "v", "bound"))):
+            if dim not in shared.value:
+                trees.append([])
+                continue
             names, centers, radius = shared.value[dim]
-            q = np.frombuffer(v, "<i4").astype(float)
-            reach = float(q @ q) + top
-            d = np.sqrt(((centers - np.append(q, 0.0)) ** 2).sum(axis=1)) - radius
-            near = np.ones(len(d), bool) if bound is None else d <= np.sqrt(max(reach - 2 * bound + _SLACK * (reach + 1), 0.0)) + _SLACK * np.sqrt(reach + 1)
+            q = np.frombuffer(v, "<f8")
+            with np.errstate(over="ignore"):
+                reach = float(q @ q) + top
+            at = np.append(q, 0.0) if np.isfinite(8 * reach) else np.zeros(dim + 1)
+            near = np.sqrt(((centers - at) ** 2).sum(axis=1)) - radius <= _far(bound, reach)
             trees.append([names[i] for i in np.flatnonzero(near).tolist() if names[i] != home_tree])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("dim", "row", "vec_id", "v", "bound")), pa.array(trees, pa.list_(pa.string()))], ["dim", "row", "vec_id", "v", "bound", "trees"])
 
