@@ -5,11 +5,13 @@ sum, over all ways to cut it into pieces, of the products of their probabilities
 recursion in log space. A text is its words, each behind a word mark, and one end. A piece has
 two probabilities, one where it ends its word and one where it doesn't; those of pieces with
 the word mark and the end sum to 1, and so do those of the others, so all texts together have
-probability 1. They start from the vocabulary's scores and are fitted to the corpus by
-expectation maximization over the table of distinct words; the vocabulary is never changed.
+probability 1. The vocabulary's scores give each piece its prior mass, and the corpus adds the
+expected uses of the piece, by expectation maximization over the table of distinct words; the
+vocabulary is never changed.
 
 Words of one length are handled together, as matrices: substrings are found in the vocabulary by
-a rolling hash, and the recursion runs over positions.
+a rolling hash, and the recursion runs over positions. A very long word is handled alone, in
+segments, so that memory holds a number or two for each of its bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import functools
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,15 @@ from tessera.session import materialize, ship
 MARK = "▁".encode()
 #: Rounds of expectation maximization over all distinct training words.
 ROUNDS = 4
-#: Expected count that each piece has besides what the corpus gives it.
-PRIOR = 0.1
+#: Prior count, mean over the pieces, which the vocabulary's scores deal out.
+PRIOR = 1.0
+#: Bytes of the longest word that is handled with others, and of a segment of a longer one.
+LONG, SEGMENT = 1 << 12, 1 << 14
 #: Words scored in the map over documents; others go through a join. It bounds the broadcast.
 FREQUENT = 1 << 17
 #: Distinct words that a task gathers before it passes its counts on.
 GATHER = 400_000
-_P = np.uint64(0x100000001B3)
+_P, _K = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.lru_cache(1)
@@ -76,31 +81,73 @@ class Lattice:
             keys = np.zeros(len(ids), np.uint64)
             for c in np.array([list(pieces[i]) for i in ids], np.uint64).T:
                 keys = keys * _P + c + np.uint64(1)
-            order = np.argsort(keys)
-            self.tables[n] = (keys[order], ids[order])
+            order, seen = np.argsort(keys), np.zeros(1 << 16, bool)
+            seen[(keys * _K) >> np.uint64(48)] = True  # few other substrings share a place with a piece
+            self.tables[n] = (keys[order], ids[order], seen)
         self.longest, self.first = max(self.tables), np.array([p.startswith(MARK) for p in pieces])
 
-    def edges(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, piece of each start and word or -1, its log probability) for a matrix with a word's bytes in a row."""
+    def edges(self, words: np.ndarray, opens: bool = True, closes: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, piece of each start and word or -1, its log probability) for a matrix with a word's bytes in a row.
+
+        ``opens`` and ``closes`` say whether the bytes begin and end the words.
+        """
         n, out = words.shape[1], []
         own = words.T.astype(np.uint64) + np.uint64(1)
         h = np.zeros_like(own)
         for size in range(1, min(n, self.longest) + 1):
             h = h[: n - size + 1] * _P + own[size - 1 :]
             if size in self.tables:
-                keys, ids = self.tables[size]
-                at = np.searchsorted(keys, h)
+                keys, ids, seen = self.tables[size]
+                flat = h.ravel()
+                some = np.flatnonzero(seen[(flat * _K) >> np.uint64(48)])
+                at = np.searchsorted(keys, flat[some])
                 at[at == len(keys)] = 0
-                found = np.where(keys[at] == h, ids[at], -1)
-                found[0][~self.first[found[0]]] = -1
-                found[1:][self.first[found[1:]]] = -1
+                found = np.full(len(flat), -1)
+                found[some] = np.where(keys[at] == flat[some], ids[at], -1)
+                found = found.reshape(h.shape)
+                if opens:
+                    found[0][~self.first[found[0]]] = -1
+                rest = found[int(opens) :]
+                rest[self.first[rest]] = -1
                 if (found >= 0).any():
                     weight = self.inside[found]
-                    weight[-1] = self.ending[found[-1]]
+                    if closes:
+                        weight[-1] = self.ending[found[-1]]
                     weight[found < 0] = -np.inf
                     out.append((size, found, weight))
         return out
 
+    def segments(self, word: bytes, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, lengths, pieces, log probabilities) of the pieces found in a long word, by segments of starts, in order or ``back``."""
+        data, n = np.frombuffer(MARK + word, np.uint8)[None], len(MARK) + len(word)
+        for i in reversed(range(0, n, SEGMENT)) if back else range(0, n, SEGMENT):
+            end = min(n, i + SEGMENT + self.longest)
+            parts = []
+            for size, found, weight in self.edges(data[:, i:end], i == 0, end == n):
+                at = np.flatnonzero(found[:SEGMENT, 0] >= 0)
+                parts.append((at + i, np.full(len(at), size), found[at, 0], weight[at, 0]))
+            starts, sizes, pieces, weights = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(starts, kind="stable")
+            yield starts[order], sizes[order], pieces[order], weights[order]
+
+    def long(self, word: bytes, count: float | None = None, uses: np.ndarray | None = None) -> float:
+        """Natural log probability of one word; with ``count``, its expected uses of pieces are added to ``uses``."""
+        n = len(MARK) + len(word)
+        alpha = [0.0] + [-np.inf] * n
+        for starts, sizes, _, weights in self.segments(word):
+            for s, k, w in zip(starts.tolist(), sizes.tolist(), weights.tolist()):
+                alpha[s + k] = _logadd(alpha[s + k], alpha[s] + w)
+        if count is not None:
+            beta = [-np.inf] * n + [0.0]
+            for starts, sizes, pieces, weights in self.segments(word, True):
+                for s, k, w in zip(starts[::-1].tolist(), sizes[::-1].tolist(), weights[::-1].tolist()):
+                    beta[s] = _logadd(beta[s], beta[s + k] + w)
+                p = np.exp([alpha[s] + w + beta[s + k] - alpha[n] for s, k, w in zip(starts.tolist(), sizes.tolist(), weights.tolist())]) * count
+                last = starts + sizes == n
+                for k, some in enumerate((~last, last)):
+                    uses[k] += np.bincount(pieces[some], p[some], uses.shape[1])
+        return alpha[n]
+
     def forward(self, edges: list, count: int, n: int) -> np.ndarray:
         """Log probability of each prefix: a row a position, a column a word."""
         alpha = np.full((n + 1, count), -np.inf)
@@ -121,13 +168,19 @@ class Lattice:
         """Natural log probability of each word behind its mark."""
         out = np.zeros(len(words))
         for rows, matrix in by_length(words):
-            out[rows] = self.forward(self.edges(matrix), len(rows), matrix.shape[1])[-1]
+            if isinstance(matrix, bytes):
+                out[rows] = self.long(matrix)
+            else:
+                out[rows] = self.forward(self.edges(matrix), len(rows), matrix.shape[1])[-1]
         return out
 
     def expected(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, as in ``logp``, when each word stands as often as its count says."""
         out = np.zeros((2, len(self.inside)))
         for rows, matrix in by_length(words):
+            if isinstance(matrix, bytes):
+                self.long(matrix, float(counts[rows][0]), out)
+                continue
             edges, (count, n) = self.edges(matrix), matrix.shape
             alpha, beta = self.forward(edges, count, n), self.backward(edges, count, n)
             for size, e, w in edges:
@@ -157,8 +210,14 @@ def _logsum(terms: list[np.ndarray], count: int) -> np.ndarray:
         return safe + np.log(total)
 
 
-def by_length(words: list[bytes] | pa.Array, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and bytes, behind the word mark, of words of one length, ``most`` at a time."""
+def _logadd(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -np.inf else a + log1p(exp(b - a))
+
+
+def by_length(words: list[bytes] | pa.Array, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray | bytes]]:
+    """Row numbers and bytes, behind the word mark, of words of one length, ``most`` at a time; a word beyond ``LONG`` as it is."""
     words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
     if not len(words):
         return
@@ -169,7 +228,10 @@ def by_length(words: list[bytes] | pa.Array, most: int = 4096) -> Iterator[tuple
     order = np.argsort(sizes, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
         n = int(sizes[part[0]])
-        step = max(1, min(most, 1_000_000 // (n + 3)))
+        if n > LONG:
+            yield from ((part[i : i + 1], words[int(part[i])].as_py()) for i in range(len(part)))
+            continue
+        step = max(1, min(most, 400_000 // (n + 3)))
         for i in range(0, len(part), step):
             rows = part[i : i + step]
             matrix = np.empty((len(rows), n + 3), np.uint8)
@@ -208,13 +270,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(counts: DataFrame, n_train: int, path: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Natural log probabilities of the pieces, and that of the end.
+    """Natural log probabilities of the pieces, and that of the end; without rounds those of the scores alone.
 
     What reaches the driver in a round is one number for each piece of the vocabulary.
     """
     pieces, logp = vocabulary(path)
     first, spark = np.array([p.startswith(MARK) for p in pieces]), counts.sparkSession
     logp, end = normalized(np.exp(np.tile(logp, 2)), first, 1.0)
+    prior = PRIOR * len(pieces) * np.exp(logp)  # each of the two sums of the scores deals out as much
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(logp)
 
@@ -226,7 +289,7 @@ def fit(counts: DataFrame, n_train: int, path: str, rounds: int = ROUNDS) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["piece", "n"])
 
         found = counts.where("train > 0").select("word", "train").mapInArrow(step, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        expected = np.full(len(logp), PRIOR)
+        expected = prior.copy()
         for r in found:
             expected[r["piece"]] += r["n"]
         logp, end = normalized(expected, first, n_train + PRIOR)
