@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import quoted
 from tessera.session import materialize
 
 MAX_PATTERNS = 5000
@@ -106,8 +107,8 @@ def seeded(seed: int, *columns: str) -> Column:
 
 
 def sized(docs: DataFrame, members: Column, keys: tuple[str, ...], seed: int) -> DataFrame:
-    """``docs`` with __pattern (its distinct sources in order, null as null), __size and __at (place in the seeded order)."""
-    return docs.withColumns({"__pattern": F.array_sort(F.array_distinct(members)), "__size": words("text"), "__at": seeded(seed, *keys)})
+    """row (all columns of ``docs``), __pattern (its distinct sources in order, null as null), __size and __at (place in the seeded order)."""
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.array_sort(F.array_distinct(members)).alias("__pattern"), words("text").alias("__size"), seeded(seed, *keys).alias("__at"))
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +172,7 @@ def mix_digest(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     A null text has size 0; a null source is a source, the last; null doc_ids take part. An
     empty table gives no rows.
     """
-    rows = materialize(sized(docs.select("doc_id", "source", "text"), F.array("source"), ("doc_id", "source", "text"), seed).drop("text"), "mix-sized")
+    rows = materialize(sized(docs.select("doc_id", "source", "text"), F.array("source"), ("doc_id", "source", "text"), seed).select("row.doc_id", "row.source", "__pattern", "__size", "__at"), "mix-sized")
     cuts, source = plan(rows, weights, share, most)
     return (
         taken_copies(rows, cuts).join(F.broadcast(source.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s")))
@@ -185,7 +186,6 @@ def mix(docs: DataFrame, members: Column, keys: tuple[str, ...], weights: tuple[
     ``members`` is an array of the sources a row belongs to; ``keys`` are the columns that tell
     rows apart.
     """
-    columns = docs.columns
     rows = sized(docs, members, keys, seed)
     cuts, _ = plan(materialize(rows.select("__pattern", "__size", "__at"), "mix-sized"), weights, share, most)
-    return taken_copies(rows, cuts).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    return taken_copies(rows, cuts).where("__copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
