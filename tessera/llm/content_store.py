@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.bpe import byte_alphabet
 from tessera.llm.common import blocks, map_batches
 from tessera.llm.units import UnitMemo
 from tessera.session import drop_path, work_path, written
 
 FANOUT = 1024
 WINDOW = 32
+#: Units encoded in one call of the library.
+TOGETHER = 4096
 #: Mean chunk length is LEAST + MASK + 1 ids, save that a document's last chunk is shorter.
 LEAST, MASK, MOST = 32, 127, 1024
 
@@ -78,38 +81,51 @@ def cut_points(ids: np.ndarray) -> list[int]:
 
 @functools.lru_cache(1)
 def library_encoder(path: str):
-    """Encodes units with the tokenizers library; values are little-endian 32-bit ids. One a Python worker."""
+    """A memo that encodes new units with the tokenizers library. One a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation(), t.no_padding()
-
-    def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
+    size = np.zeros(t.get_vocab_size(with_added_tokens=True), np.int64)
+    alphabet, special = byte_alphabet(), {i: a.content for i, a in t.get_added_tokens_decoder().items()}
+    for token, i in t.get_vocab(with_added_tokens=True).items():
+        size[i] = len(special[i].encode()) if i in special else len(token)
+    assert all(c in alphabet for token, i in t.get_vocab(with_added_tokens=False).items() if i not in special for c in token), "not a byte-level vocabulary"
+
+    def encode(units: list[bytes], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        if not joined:
+            found = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+            return np.concatenate(found), np.array([*map(len, found)], np.int64)
+        # Such units don't change one another: many are encoded at a time, and parted where their bytes end.
+        ids, many = [], []
+        for some in blocks(units, TOGETHER):
+            (e,) = t.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            many.append(np.diff(np.searchsorted(np.cumsum(size[ids[-1]]), ends) + 1, prepend=0))
+        return np.concatenate(ids), np.concatenate(many)
 
     return UnitMemo(encode)
 
 
 def _encode(memo: UnitMemo, batch: pa.RecordBatch, end_id: int, width: str) -> pa.RecordBatch:
-    ids, tokens, roots, recipes = batch.column("doc_id").to_pylist(), [], [], []
-    end = np.array([end_id], dtype="<u4").tobytes()
-    for texts in blocks([t or "" for t in batch.column("text").to_pylist()]):
-        for values in memo(texts):
-            stream = np.frombuffer(b"".join([*values, end]), dtype="<u4")
-            small, chunks, at = stream.astype(width), [], 0
-            for e in cut_points(stream):
-                payload = small[at:e].tobytes()
-                chunks.append({"hash": hashlib.sha256(payload).digest(), "end": e, "payload": payload})
-                at = e
-            tokens.append(len(stream))
-            roots.append(hashlib.sha256("".join(c["hash"].hex() for c in chunks).encode()).hexdigest())
-            recipes.append(chunks)
-    kind = pa.list_(pa.struct([("hash", pa.binary()), ("end", pa.int64()), ("payload", pa.binary())]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(roots, pa.string()), pa.array(recipes, kind)],
-        ["doc_id", "n_tokens", "root", "chunks"],
-    )
+    """Chunks as flat arrays: their hashes, ends and payloads, and the number of chunks of each document."""
+    hashes, ends, payloads, count, tokens, roots = [], [], [], [], [], []
+    for parts in memo.streams(batch.column("text")):
+        stream = np.concatenate([*parts, np.array([end_id], np.uint32)])
+        cuts, raw, wide = cut_points(stream), stream.astype(width).tobytes(), np.dtype(width).itemsize
+        own = [raw[a * wide : b * wide] for a, b in zip([0, *cuts], cuts)]
+        digests = [hashlib.sha256(p).digest() for p in own]
+        hashes += digests
+        payloads += own
+        ends += cuts
+        count.append(len(cuts))
+        tokens.append(len(stream))
+        roots.append(hashlib.sha256(b"".join(digests).hex().encode()).hexdigest())
+    chunks = pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(ends, pa.int64()), pa.array(payloads, pa.binary())], ["hash", "end", "payload"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(roots, pa.string()), pa.ListArray.from_arrays(offsets, chunks)], ["doc_id", "n_tokens", "root", "chunks"])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, id_bytes: int = 2) -> None:

@@ -1,64 +1,172 @@
-"""Cutting a text where byte-level BPE pre-tokens cannot cross.
+"""Cutting texts where byte-level BPE pre-tokens cannot cross, and encoding each different unit once.
 
 The pre-token pattern of byte-level BPE vocabularies attaches one leading blank to a word and
-lets only white space share a match with other white space. So between a visible character and
-a single blank or newline that another visible character follows, a pre-token always ends.
-Units between such places are encoded on their own, and equal units give equal ids, which
-makes a bounded memo of units exact.
+lets only white space share a match with other white space. So between a visible character of
+whatever script and a single blank or newline that another visible character follows, a
+pre-token always ends. Units between such places are encoded on their own, and equal units give
+equal ids, which makes a bounded memo of units exact.
+
+Texts are handled by blocks, as arrays of bytes: places, different units and ids of all texts of
+a block are found without a loop over words.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+
+#: Bytes of text in a block; a longer text is handled in pieces of that size.
+BLOCK = 4 << 20
+#: Bytes, estimated, that a memo holds before it is emptied; units longer than ``SHORT`` bytes aren't kept.
+MEMO, ENTRY, SHORT = 96 << 20, 160, 64
+
+_VISIBLE = np.arange(256) > 0x20
+
 
-#: Characters that are certainly not white space; others never count as a cutting place.
-VISIBLE = "!-~¡-ɏ"
-_PLAIN = re.compile(f"\n?[{VISIBLE}]+").fullmatch
-_CUT = re.compile(f"(?<=[{VISIBLE}])(?=[ \n][{VISIBLE}])").split
+def visible(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 text whether its character is certainly not white space, in any table of Unicode."""
+    out = _VISIBLE[data]
+    at = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3) | (data == 0xEF))
+    if len(at):
+        one, two, three = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
+        # U+0080-00A0, U+1680-16BF, U+1800-183F, U+2000-207F, U+3000, U+FEFF
+        space = ((one == 0xC2) & (two < 0xA1)) | ((one == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((one == 0xE2) & (two < 0x82)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80)) | ((one == 0xEF) & (two == 0xBB) & (three == 0xBF))
+        for k in range(3):
+            some = at[space & ((k < 2) | (one != 0xC2))] + k
+            out[some[some < len(data)]] = False
+    return out
 
-#: Units that a memo holds before it is emptied (some 100 bytes each).
-MEMO = 600_000
+
+def places(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the units of texts that begin at ``starts`` (the first at 0), and whether each may stand among others.
+
+    Such a unit begins with one blank or newline before a visible character and ends with a
+    visible one, so in a row of them each is still a unit.
+    """
+    seen = visible(data)
+    before, after = np.append(False, seen[:-1]), np.append(seen[1:], False)
+    starts = starts[starts < len(data)]
+    after[starts[starts > 0] - 1] = False
+    blank = ((data == 0x20) | (data == 0x0A)) & after
+    first = blank & before
+    first[starts] = True
+    at = np.flatnonzero(first)
+    return at, blank[at] & seen[np.append(at[1:], len(data)) - 1]
 
 
 def cut(text: str) -> list[str]:
     """The units of a text; joined, they are the text."""
-    return _CUT(text) if text else []
+    if not text:
+        return []
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = places(data, np.zeros(1, np.int64))[0].tolist()
+    return [bytes(data[a:b]).decode() for a, b in zip(at, [*at[1:], len(data)])]
+
+
+#: Takes units and whether they may be joined; gives the ids of all units in a row, and the number of each unit's ids.
+Encode = Callable[[list[bytes], bool], tuple[np.ndarray, np.ndarray]]
 
 
 class UnitMemo:
-    """Remembers ``encode`` by unit. ``encode`` takes a list of units and returns a list of values.
+    """Encodes texts by units, with a memo of ids bounded by ``MEMO`` bytes."""
 
-    A key is a piece between blanks: ``word`` stands for the unit `` word`` and ``\\nWord`` for
-    itself. A text whose pieces aren't all plain (runs of white space, rare characters) is cut
-    by the exact pattern instead. Memory is bounded by ``MEMO`` units.
-    """
+    def __init__(self, encode: Encode):
+        self._encode = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self._flat, self._used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
+        self._first, self._count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _grown(self, array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.append(array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype))
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self._encode, self._memo, self._whole = encode, {}, {}
-
-    def __call__(self, texts: Iterable[str]) -> list[list]:
-        """For each text, the values of its units in order."""
-        memo, whole = self._memo, self._whole
-        if len(memo) > MEMO:
-            memo.clear()
-        if len(whole) > MEMO // 4:
-            whole.clear()
-        cuts, units, pieces = [], set(), set()
-        for text in texts:
-            parts = text.replace("\n", " \n").split(" ")
-            new = [p for p in parts[1:] if p not in memo]
-            if parts[0].startswith("\n") or not _PLAIN(parts[0]) or not all(map(_PLAIN, new)):
-                parts = None
-                units.update(own := cut(text))
-                cuts.append((None, own))
+    def _add(self, units: list[bytes], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """First places and numbers of the ids of new units, which come behind all others."""
+        ids, count = self._encode(units, joined)
+        first = self._used + np.cumsum(count) - count
+        self._flat = self._grown(self._flat, self._used + len(ids))
+        self._flat[self._used : self._used + len(ids)] = ids
+        self._used += len(ids)
+        return first, count
+
+    def block(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that begin at ``starts`` in ``data``, in a row, and where each text's end."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        if self.size > MEMO:
+            self._clear()
+        at, joined = places(data, starts)
+        offsets = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        units, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        first, count = self._first[place], self._count[place]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            one = np.empty(len(units), np.int64)
+            one[of[::-1]] = np.arange(len(of) - 1, -1, -1)  # where each unit stands first
+            long = np.fromiter((len(units[i]) > SHORT for i in new), bool, len(new))
+            for kept in (True, False):
+                if not kept:
+                    used = self._used
+                for flag in (True, False):
+                    some = new[(joined[one[new]] == flag) & (long != kept)]
+                    if not len(some):
+                        continue
+                    own = [units[i] for i in some]
+                    first[some], count[some] = self._add(own, flag)
+                    if kept:
+                        n = len(self.known)
+                        self._first, self._count = self._grown(self._first, n + len(some)), self._grown(self._count, n + len(some))
+                        self._first[n : n + len(some)], self._count[n : n + len(some)] = first[some], count[some]
+                        self.known.update(zip(own, range(n, n + len(some))))
+                        self.size += ENTRY * len(some) + sum(map(len, own)) + 4 * int(count[some].sum())
+        first, count = first[of], count[of]
+        ends = np.cumsum(count)
+        ids = self._flat[np.repeat(first - ends + count, count) + np.arange(ends[-1])]
+        if len(new):
+            self._used = used  # long units go again
+        return ids, np.append(0, ends)[np.searchsorted(at, np.append(starts[1:], len(data)))]
+
+    def streams(self, texts: pa.Array) -> Iterator[Iterator[np.ndarray]]:
+        """For each text (null: empty) its ids, in one part or, for a long text, in several; to be read in order."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not len(texts):
+            return
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(texts):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1)
+            own = data[offsets[row] : offsets[end]]
+            if len(own) > BLOCK:
+                yield self._pieces(own)
             else:
-                pieces.update(new)
-                units.add(parts[0])
-                cuts.append((parts[0], parts[1:]))
-        if pieces:
-            pieces = list(pieces)
-            memo.update(zip(pieces, self._encode([p if p[0] == "\n" else " " + p for p in pieces])))
-        if units := [u for u in units if u not in whole]:
-            whole.update(zip(units, self._encode(units)))
-        return [[whole[u] for u in rest] if first is None else [whole[first], *map(memo.__getitem__, rest)] for first, rest in cuts]
+                ids, ends = self.block(own, offsets[row:end] - offsets[row])
+                at = 0
+                for e in ends.tolist():
+                    yield iter((ids[at:e],))
+                    at = e
+            row = end
+
+    def _pieces(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of one long text; a unit longer than a block is one piece."""
+        at, size, zero = 0, BLOCK, np.zeros(1, np.int64)
+        while len(data) - at > size:
+            found = places(data[at : at + size], zero)[0]
+            found = found[found < size - 4]  # the window may end inside a character
+            if len(found) < 2:
+                size *= 2
+                continue
+            yield self.block(data[at : at + found[-1]], zero)[0]
+            at, size = at + int(found[-1]), BLOCK
+        yield self.block(data[at:], zero)[0]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.concatenate([*parts]).tolist() for parts in self.streams(pa.array(texts, pa.string()))]
