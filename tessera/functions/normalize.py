@@ -69,10 +69,45 @@ def case_number(text: Column | str) -> Column:
 
 
 def phone(text: Column | str, country: str = "1") -> Column:
-    """Digits with a plus; ten digits get the country's code, a leading 00 counts as a plus; null without digits."""
-    digits = F.regexp_replace(c(text), r"\D", "")
-    plus = F.trim(c(text)).startswith("+")
-    return F.when(digits == "", None).when(plus, F.concat(F.lit("+"), digits)).when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.char_length(digits)))).when(F.char_length(digits) == 10, F.concat(F.lit(f"+{country}"), digits)).otherwise(F.concat(F.lit("+"), digits))
+    """Plus and digits: ten digits and more that begin with the country's code stay, others but those behind a plus get it; empty without digits."""
+    digits = F.regexp_replace(c(text), "[^0-9]", "")
+    n = F.char_length(digits)
+    whole = ((n >= 10) & digits.startswith(country)) | ((n != 10) & c(text).startswith("+"))
+    return F.when(digits == "", "").when(whole, F.concat(F.lit("+"), digits)).otherwise(F.concat(F.lit(f"+{country}"), digits))
+
+
+#: Fixed abbreviations of street types, written out in this order; letter case counts.
+STREET_TYPES = [("St.", "Street"), ("St ", "Street "), ("Ave.", "Avenue"), ("Ave ", "Avenue "), ("Rd.", "Road"), ("Rd ", "Road "), ("Dr.", "Drive"), ("Blvd.", "Boulevard"), ("Ln.", "Lane"), ("Ct.", "Court")]
+
+
+def street_line(text: Column | str) -> Column:
+    """Trimmed, with street types written out."""
+    out = F.trim(c(text))
+    for short, word in STREET_TYPES:
+        out = F.replace(out, F.lit(short), F.lit(word))
+    return out
+
+
+def title_case(text: Column | str) -> Column:
+    """Words with a first capital, parted by single blanks."""
+    return F.initcap(F.regexp_replace(F.trim(c(text)), r"\s+", " "))
+
+
+def fold_set(texts: Column) -> Column:
+    """Distinct folded texts in order."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else sorted({unicodedata.normalize("NFKC", t.strip()).lower() for t in a if t is not None}))
+
+    return run(texts)
+
+
+def unix_seconds(text: Column | str) -> Column:
+    """Seconds since 1970 of an ISO 8601 time, in UTC unless it names a zone; null if malformed."""
+    t = c(text)
+    zoned = t.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.coalesce(F.unix_seconds(F.try_to_timestamp(F.when(zoned, t).otherwise(F.concat(t, F.lit("Z"))))), F.lit(None).cast("long"))
 
 
 #: Fixed patterns of the format checks.

@@ -237,3 +237,63 @@ def weighted(*parts: tuple[Column, float], renormalize: bool = True) -> Column:
         return top / sum(w for _, w in parts)
     weight = reduce(Column.__add__, [F.when(s.isNotNull(), F.lit(w)).otherwise(0.0) for s, w in parts])
     return F.when(weight > 0, top / weight).otherwise(0.0)
+
+
+def lifted(a: str, b: str, score: Column) -> Column:
+    """A score of given names, at least 0.9 for nicknames of each other."""
+    return F.when(nickname_class(a) == nickname_class(b), F.greatest(score, F.lit(0.9))).otherwise(score)
+
+
+def name_part_lists(a: str, b: str) -> Column:
+    """Of two arrays of prefixes, or of suffixes: both empty 1, one empty 0.5, else the best Jaro-Winkler of the first elements.
+
+    Lists of one element are what records have; longer ones are scored exploded, with :func:`jaro_winkler` and a maximum.
+    """
+    x, y = F.coalesce(c(a), F.array()), F.coalesce(c(b), F.array())
+    first = jaro_winkler(F.lower(F.coalesce(F.get(x, F.lit(0)), F.lit(""))), F.lower(F.coalesce(F.get(y, F.lit(0)), F.lit(""))))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.5).otherwise(first)
+
+
+def full_name(family: Column, given: Column, prefix: Column, suffix: Column) -> Column:
+    """Half the family name, 0.4 of the given name and a tenth of the mean of prefix and suffix."""
+    return 0.5 * family + 0.4 * given + 0.1 * ((prefix + suffix) / 2)
+
+
+#: Fixed abbreviations of street words, replaced in this order wherever they stand.
+STREET_WORDS = [("street", "st"), ("avenue", "ave"), ("road", "rd"), ("drive", "dr"), ("boulevard", "blvd"), ("lane", "ln"), ("court", "ct"), ("circle", "cir")]
+
+
+def street(x: Column | str) -> Column:
+    """Trimmed, lower case, street words abbreviated, without full stops and commas."""
+    out = F.lower(F.trim(c(x)))
+    for word, short in STREET_WORDS:
+        out = F.replace(out, F.lit(word), F.lit(short))
+    return F.translate(out, ".,", "")
+
+
+def exact_or_jaro_winkler(a: Column, b: Column) -> Column:
+    """1 if equal but for case, else Jaro-Winkler in lower case; null if either is missing."""
+    return F.when(F.lower(a) == F.lower(b), 1.0).otherwise(jaro_winkler(F.lower(a), F.lower(b)))
+
+
+def address_fixed(postal: Column, city: Column, state: Column, street_: Column) -> Column:
+    """Postal code and street 0.3 each, city and state 0.2 each; a missing part counts 0."""
+    return weighted((postal, 0.3), (city, 0.2), (state, 0.2), (street_, 0.3), renormalize=False)
+
+
+def address_present(postal: Column, locality: Column, street_: Column, region: Column, country: Column) -> Column:
+    """0.30, 0.25, 0.25, 0.10 and 0.10 over the parts that both sides have; nothing in common gives 0."""
+    return weighted((postal, 0.30), (locality, 0.25), (street_, 0.25), (region, 0.10), (country, 0.10))
+
+
+def tax_id(a: Column, b: Column) -> Column:
+    """1 for equal ASCII letters and digits, case aside, else 0, as for a missing one."""
+    plain = lambda x: F.lower(F.regexp_replace(x, "[^0-9A-Za-z]", ""))
+    return F.when((plain(a) != "") & (plain(a) == plain(b)), 1.0).otherwise(0.0)
+
+
+def document(a: Column, b: Column) -> Column:
+    """Of (type, number, country) structs: equal type and number 1, with another country 0.95, else 0."""
+    plain = lambda x: F.regexp_replace(F.upper(F.trim(x)), "[-. ]", "")
+    same = (a["type"] == b["type"]) & (plain(a["number"]) != "") & (plain(a["number"]) == plain(b["number"]))
+    return F.when(same & a["country"].eqNullSafe(b["country"]), 1.0).when(same, 0.95).otherwise(0.0)

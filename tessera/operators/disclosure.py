@@ -6,6 +6,7 @@ import hashlib
 import hmac
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +117,32 @@ def keyed_mac(column: str, key: bytes, domain: str) -> Column:
     return run(F.col(column))
 
 
+def chain(log: DataFrame, key: str, seq: str, fields: list[str], chained: str) -> DataFrame:
+    """``log`` with prev_hash and hash: each row's hash covers the hash before it and its own fields.
+
+    Rows whose ``chained`` is false have neither, and the chain of their key starts anew behind
+    them. Keys are read in order, with one hash in memory.
+    """
+    own = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
+    names = log.columns
+
+    def run(batches):
+        of, last = None, None
+        for batch in batches:
+            before, after = [], []
+            for k, text, kept in zip(*(batch.column(c).to_pylist() for c in (key, "__own", chained))):
+                if k != of:
+                    of, last = k, None
+                before.append(last if kept else None)
+                last = hashlib.sha256(f"{last or ''}{SEPARATOR}{text}".encode()).hexdigest() if kept else None
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "prev_hash", "hash"])
+
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = log.withColumn("__own", own).repartition(n, key).sortWithinPartitions(key, seq)
+    return rows.mapInArrow(run, T.StructType([*log.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())]))
+
+
 def verify_chain(log: DataFrame, key: str, seq: str, *fields: str) -> DataFrame:
     """Each row of a hash-chained log with ``linked`` (prev_hash is the hash before it) and ``intact`` (its hash fits its fields).
 
@@ -146,3 +173,44 @@ def checkpoint_holds(log: DataFrame, key: str, seq: str, anchors: DataFrame) ->
 def erase(log: DataFrame, condition: Column, fields: list[str], tombstone: str = "[erased]") -> DataFrame:
     """Rows that match lose the named fields' content but keep their hashes, so the chain still links."""
     return log.withColumns({f: F.when(condition, F.lit(tombstone)).otherwise(F.col(f)) for f in fields} | {"redacted": F.coalesce(condition, F.lit(False))})
+
+
+def commitment(salt: Column, address: Column) -> Column:
+    """Salted SHA-256 of an address, each part followed by the separator, under a fixed label."""
+    return F.sha2(F.concat_ws(SEPARATOR, F.lit("audit-address"), salt, address, F.lit("")).cast("binary"), 256)
+
+
+def record_digest(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of the record as JSON with its keys in order; nulls are written."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def disclosures(log: DataFrame, since: str, until: str) -> DataFrame:
+    """The rows of an audit log that say what was handed on, from one day and before another."""
+    return log.where((F.col("action") == "disclosed") & (F.col("ts") >= F.lit(since).cast("timestamp_ntz")) & (F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+
+
+def rate_limited(attempts: DataFrame, key: str, at: str, tie: str, most: int, window: int) -> DataFrame:
+    """``attempts`` with ``allowed``: fewer than ``most`` allowed ones of the key lie in the ``window`` seconds before.
+
+    A refused attempt isn't counted, so what is allowed depends on what was, and keys are read
+    in order; memory holds ``most`` times of one key.
+    """
+    names = attempts.columns
+
+    def run(batches):
+        of, recent = None, []
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist()):
+                if k != of:
+                    of, recent = k, []
+                recent = [x for x in recent if x > t - window]
+                out.append(len(recent) < most)
+                if out[-1]:
+                    recent.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*names, "allowed"])
+
+    n = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = attempts.repartition(n, key).sortWithinPartitions(key, at, tie)
+    return rows.mapInArrow(run, T.StructType([*attempts.schema.fields, T.StructField("allowed", T.BooleanType())]))

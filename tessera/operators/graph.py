@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import reconcile
 from tessera.session import materialize
 
 URN = r"^([a-z][a-z_-]*):([0-9a-fA-F-]{36}|[0-9]+)$"
@@ -98,3 +99,30 @@ def merge_fold(records: DataFrame, merges: DataFrame, key: str, name: str, lists
     united = lambda c: F.array_distinct(F.flatten(F.transform("all", lambda r: F.coalesce(r[c], F.array()))))
     names = F.array_distinct(F.transform("all", lambda r: r[name]))
     return all_.select(key, first(name).alias(name), F.filter(names, lambda x: x.isNotNull() & (x != F.get(F.col("all"), F.lit(0))[name])).alias("alternate_names"), *[united(c).alias(c) for c in lists], *[first(c).alias(c) for c in scalars])
+
+
+def with_kinds(edges: DataFrame, kinds: list[tuple[str, str, bool, bool]]) -> DataFrame:
+    """``edges`` with the inverse of their kind and whether it is temporal and sensitive; nulls for an unknown kind."""
+    known = edges.sparkSession.createDataFrame(kinds, "kind string, inverse string, temporal boolean, sensitive boolean")
+    return edges.join(F.broadcast(known), "kind", "left")  # a row a kind
+
+
+def chain_walk(links: DataFrame, starts: DataFrame, most: int = 16) -> DataFrame:
+    """start, leg, position of the legs (leg, next) reached from each start, ``most`` at most; a leg is visited once, so cycles end."""
+    at = starts.select(F.col("leg").alias("start"), "leg", F.array("leg").alias("seen")).join(links, "leg")
+    out = at.select("start", "leg", F.lit(1).alias("position"))
+    for position in range(2, most + 1):
+        step = at.select("start", "seen", F.col("next").alias("leg")).join(links, "leg").where(~F.array_contains("seen", F.col("leg")))
+        at = materialize(step.select("start", "leg", F.array_append("seen", F.col("leg")).alias("seen"), "next"), "graph-chain")
+        if at.isEmpty():
+            break
+        out = out.unionByName(at.select("start", "leg", F.lit(position).alias("position")))
+    return out
+
+
+def reconcile_edges(have: DataFrame, want: DataFrame, kinds: list[tuple[str, str, str]]) -> DataFrame:
+    """from_ref, to_ref, kind, side: rejected (wanted, but of types its kind forbids), missing, or extra."""
+    key = ["from_ref", "to_ref", "kind"]
+    good = permitted(want.select(*key).distinct(), kinds)
+    rejected = want.select(*key).distinct().join(good, key, "left_anti").withColumn("side", F.lit("rejected"))
+    return rejected.unionByName(reconcile(good, have, key))

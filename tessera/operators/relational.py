@@ -55,6 +55,17 @@ def live(df: DataFrame, deleted: str = "deleted_at", active: str | None = "activ
     return df.where(active) if active else df
 
 
+def json_equals(column: str, path: str, value: str) -> Column:
+    """Whether the JSON in a column has the value, as text, at a path; false where it is malformed or has none."""
+    return F.coalesce(F.get_json_object(column, path) == value, F.lit(False))
+
+
+def visible(df: DataFrame, sensitive: Column, may_see: Column, may_see_masked: Column, masks: dict[str, Column]) -> DataFrame:
+    """Rows that a reader may see: all that aren't sensitive, and sensitive ones whole or, where only so allowed, with the masks."""
+    masked = sensitive & ~may_see
+    return df.where(~sensitive | may_see | may_see_masked).withColumns({c: F.when(masked, m).otherwise(F.col(c)) for c, m in masks.items()})
+
+
 def check_moves(moves: DataFrame, allowed: list[tuple[str, str]], before: str = "from_state", after: str = "to_state") -> DataFrame:
     """``moves`` with ``valid``: whether the move is among the allowed pairs."""
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in allowed])

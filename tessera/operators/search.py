@@ -122,3 +122,21 @@ def date_range(df: DataFrame, column: str, since: str | None = None, until: str
     if since:
         df = df.where(F.col(column) >= F.lit(since).cast("date"))
     return df.where(F.col(column) <= F.lit(until).cast("date")) if until else df
+
+
+def boosted(index: DataFrame, text: str, boosts: DataFrame, key: str, weight: float) -> DataFrame:
+    """key, score of documents that hold all words of a text; ``boosts`` (key, boost) adds ``weight`` but finds nothing by itself."""
+    found = matches(index, " ".join(f"+{w}" for w in re.findall(r"[^\W_]+", text)), key)
+    return found.join(boosts, key, "left").select(key, (F.col("score") + F.when(F.col("boost"), weight).otherwise(0.0)).alias("score"))
+
+
+def unmasked_matches(index: DataFrame, masked: DataFrame, open_fields: list[str], query: str, key: str) -> DataFrame:
+    """:func:`matches` over what a reader sees: of ``masked`` documents the open fields alone."""
+    hidden = masked.select(key).withColumn("__masked", F.lit(True))
+    seen = index.join(hidden, key, "left").where(F.col("__masked").isNull() | F.col("field").isin(open_fields)).drop("__masked")
+    return matches(seen, query, key)
+
+
+def stats(index: DataFrame, key: str) -> DataFrame:
+    """By field: documents, distinct tokens and postings."""
+    return index.groupBy("field").agg(F.countDistinct(key).alias("documents"), F.countDistinct("token").alias("tokens"), F.count(F.lit(1)).alias("postings"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import disclosure as D
 from tessera.operators import intervals as I
 from tessera.operators import variants as V
-from tessera.session import millis, table
+from tessera.session import materialize, millis, table
 
 AS_OF_MS = 1_706_745_600_000  # 2024-02-01
 
@@ -158,26 +158,45 @@ def suppressed_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer names masked but for four characters."""
+    """Customer names masked but for four characters."""
     return table(spark, sf_dir, "customer").select("c_custkey", D.mask("c_name").alias("masked"))
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a hash-chained log of each user; rows of every 83rd event are unchained."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_id") % 83 != 0).alias("kept"))
+    return materialize(D.chain(e, "user_id", "event_id", ["event_id", "event_type"], "kept"), "journey-log").drop("kept")
+
+
 def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of one row an event and user, chained, then changed and verified."""
+    """Chained logs in which some rows' content and some rows' links were changed afterwards, verified."""
+    log = _log(spark, sf_dir)
+    log = log.withColumns({
+        "event_type": F.when(F.col("event_id") % 97 == 0, "changed").otherwise(F.col("event_type")),
+        "prev_hash": F.when((F.col("event_id") % 89 == 0) & F.col("hash").isNotNull(), "broken").otherwise(F.col("prev_hash")),
+    })
+    return D.chain_summary(D.verify_chain(log, "user_id", "event_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+def chain_after_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs in which errors were erased still link; only the erased rows' content no longer fits."""
+    log = D.erase(_log(spark, sf_dir), F.col("event_type") == "error", ["event_type"])
+    v = D.verify_chain(log, "user_id", "event_id", "event_id", "event_type")
+    return v.groupBy("user_id").agg(F.count_if("redacted").alias("n_redacted"), F.count_if(~F.col("linked")).alias("n_unlinked"), F.count_if(~F.col("intact") & ~F.col("redacted")).alias("n_changed"), F.count_if(~F.col("intact") & F.col("redacted")).alias("n_erased"))
+
+
+def chain_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints taken at the third row of each log, held against the log after every seventh event was removed (P10)."""
     from pyspark.sql.window import Window
 
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")
-    own = F.lag(D.row_digest("event_id", "event_type")).over(Window.partitionBy("user_id").orderBy("event_id"))
-    log = e.withColumn("prev_hash", own).withColumn("hash", D.row_digest("event_id", "event_type"))
-    changed = log.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, "changed").otherwise(F.col("event_type")))
-    linked = F.col("prev_hash").eqNullSafe(F.lag("hash").over(Window.partitionBy("user_id").orderBy("event_id")))
-    checked = changed.withColumns({"linked": linked, "intact": F.col("hash") == D.row_digest("event_id", "event_type")})
-    return checked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("linked")).alias("n_unlinked"), F.count_if(~F.col("intact")).alias("n_changed"), F.max_by("hash", "event_id").alias("head"))
+    log = _log(spark, sf_dir)
+    third = log.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n = 3").select("user_id", F.col("event_id").alias("seq"), F.col("hash").alias("head"), F.col("n").cast("long").alias("n"))
+    return D.checkpoint_holds(log.where("event_id % 7 != 0"), "user_id", "event_id", third)
 
 
 QUERIES = {f.__name__: f for f in (
     interval_union_gaps, elapsed_parts, time_by_stage, process_map_edges, stage_anchors, compliance_standard, kaplan_meier, log_rank, flow_little_law, step_conformance, step_out_of_order,
-    conformance_share, journey_dq, variants_pareto, rule_split, attrition, suppressed_cells, suppressed_primary, masked_values, hash_chain_verify,
+    conformance_share, journey_dq, variants_pareto, rule_split, attrition, suppressed_cells, suppressed_primary, masked_values, hash_chain_verify, chain_after_erasure, chain_checkpoints,
 )}
 
 _S = """s AS (SELECT user_id, event_id, event_type AS stage, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type IN ('signup', 'click') THEN 2 ELSE 3 END AS rank,
@@ -202,6 +221,11 @@ _C = f"""WITH {_T}, n AS (SELECT *, lead(d) OVER w AS nd, lead(p) OVER w AS np F
     c AS (SELECT l_orderkey, count(*) FILTER (WHERE d <= nd) AS in_order, count(*) FILTER (WHERE d > nd) AS inverted, count(*) FILTER (WHERE d IS NULL OR nd IS NULL) AS skipped FROM n WHERE np IS NOT NULL GROUP BY 1),
     f AS (SELECT *, round(in_order / (in_order + inverted + skipped), 9) AS ratio FROM c)"""
 
+_LOG = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    c AS (SELECT user_id, n, event_id, event_type, CAST(NULL AS VARCHAR) AS prev, CASE WHEN event_id % 83 <> 0 THEN sha256(chr(31) || event_id || chr(31) || event_type) END AS hash FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.n, e.event_id, e.event_type, CASE WHEN e.event_id % 83 <> 0 THEN c.hash END, CASE WHEN e.event_id % 83 <> 0 THEN sha256(coalesce(c.hash, '') || chr(31) || e.event_id || chr(31) || e.event_type) END
+          FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)"""
+
 ORACLE = {
     "interval_union_gaps": f"""
         WITH {_S}, g AS (SELECT user_id, stage, a, max(b) OVER w AS f, arg_max(stage, (b, a, stage)) OVER w AS after_stage FROM s
@@ -259,7 +283,15 @@ ORACLE = {
     "suppressed_primary": """
         SELECT c_nationkey, c_mktsegment, CASE WHEN n >= 8 THEN n END AS n, n < 8 AS withheld FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)""",
     "masked_values": "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN c_name ELSE regexp_replace(left(c_name, length(c_name) - 4), '[\\p{L}\\p{N}]', '*', 'g') || right(c_name, 4) END AS masked FROM customer",
-    "hash_chain_verify": """
-        WITH l AS (SELECT user_id, event_id, sha256(event_id || chr(31) || event_type) AS hash FROM events)
-        SELECT user_id, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_unlinked, count(*) FILTER (WHERE event_id % 97 = 0) AS n_changed, arg_max(hash, event_id) AS head FROM l GROUP BY 1""",
+    "hash_chain_verify": f"""
+        {_LOG}, t AS (SELECT user_id, n, event_id, hash, CASE WHEN event_id % 97 = 0 THEN 'changed' ELSE event_type END AS ty, CASE WHEN event_id % 89 = 0 AND hash IS NOT NULL THEN 'broken' ELSE prev END AS pv, lag(hash) OVER (PARTITION BY user_id ORDER BY n) AS lh FROM c),
+        g AS (SELECT user_id, count(*) AS n_rows, count(hash) AS n_chained, count(*) FILTER (hash <> sha256(coalesce(pv, '') || chr(31) || event_id || chr(31) || ty)) AS n_changed, count(*) FILTER (hash IS NOT NULL AND pv IS DISTINCT FROM lh) AS n_unlinked,
+              arg_max(hash, n) FILTER (hash IS NOT NULL) AS head FROM t GROUP BY 1) SELECT *, n_changed = 0 AND n_unlinked = 0 AS holds FROM g""",
+    "chain_after_erasure": f"""
+        {_LOG}, t AS (SELECT *, event_type = 'error' AS gone, lag(hash) OVER (PARTITION BY user_id ORDER BY n) AS lh FROM c)
+        SELECT user_id, count(*) FILTER (gone) AS n_redacted, count(*) FILTER (hash IS NOT NULL AND prev IS DISTINCT FROM lh) AS n_unlinked, count(*) FILTER (NOT gone AND hash <> sha256(coalesce(prev, '') || chr(31) || event_id || chr(31) || event_type)) AS n_changed,
+               count(*) FILTER (gone AND hash <> sha256(coalesce(prev, '') || chr(31) || event_id || chr(31) || '[erased]')) AS n_erased FROM t GROUP BY 1""",
+    "chain_checkpoints": f"""
+        {_LOG}, a AS (SELECT user_id, event_id AS seq, hash AS head FROM c WHERE n = 3), l AS (SELECT a.user_id, seq, head, count(*) AS m, max(hash) FILTER (event_id = seq) AS now FROM a JOIN c ON c.user_id = a.user_id AND event_id <= seq AND event_id % 7 <> 0 GROUP BY ALL)
+        SELECT user_id, seq, now IS NOT DISTINCT FROM head AND m = 3 AS holds FROM l""",
 }

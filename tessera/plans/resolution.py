@@ -35,7 +35,7 @@ def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaro_winkler_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the 25 nations against each other."""
+    """Names of the 25 nations against each other."""
     n = table(spark, sf_dir, "nation").select("n_name")
     pairs = n.join(F.broadcast(n.withColumnRenamed("n_name", "other")), F.col("n_name") < F.col("other"))
     return pairs.select("n_name", "other", F.round(S.jaro_winkler("n_name", "other"), 9).alias("jw"))
@@ -53,7 +53,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def haversine_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places within 3000 km of a point across the antimeridian, box first."""
+    """Places within 3000 km of a point across the antimeridian, box first."""
     w, s, e, n = S.search_box(10.0, 175.0, 3_000_000)
     p = _placed(spark, sf_dir).where(S.in_box(F.col("lat"), F.col("lon"), w, s, e, n))
     m = S.haversine_m(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(175.0))
@@ -74,7 +74,7 @@ def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains of pages and how many pages each has."""
+    """Domains of pages and how many pages each has."""
     return table(spark, sf_dir, "pages").select(N.domain("url").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -155,7 +155,7 @@ def candidate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that documents break, by rule."""
+    """Rules that documents break, by rule."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rules = {"text_required": F.trim("text") != "", "text_long": F.char_length("text") <= 10_000, "lang_form": F.col("lang").rlike("^[a-z]{2}$"), "source_known": F.col("source").rlike(r"^src\d$")}
     return N.validate(d, rules).select(F.explode("errors").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
@@ -198,7 +198,20 @@ _BITS = lambda c, m, u: f"(CASE WHEN {c} >= 0.95 THEN log2({m} / {u}) WHEN {c} <
 _TOK = "tok AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM benchmark)"
 _PLACE = "pl AS (SELECT s_suppkey, CAST(s_suppkey * 37 % 180 - 90 AS DOUBLE) AS lat, CAST(s_suppkey * 91 % 360 - 180 AS DOUBLE) AS lon FROM supplier)"
 
+
+
+def _soundex(x: str, transparent: bool = False) -> str:
+    """SQL: Soundex; H and W are passed over where ``transparent``, and otherwise part equal codes."""
+    t = f"upper(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+    s = f"({t}[1:1] || regexp_replace({t}[2:], '[HW]', '', 'g'))" if transparent else t
+    d = f"translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+    runs = f"array_to_string([substr({d}, i, 1) FOR i IN range(2, length({d}) + 1) IF substr({d}, i, 1) <> substr({d}, i - 1, 1)], '')"
+    return f"CASE WHEN {t} = '' THEN {'NULL' if transparent else repr('')} ELSE {t}[1:1] || rpad(replace({runs}, '0', ''), 3, '0') END"
+
+
 ORACLE = {
+    "soundex_codes": f"SELECT n_name, {_soundex('n_name')} AS reset, {_soundex('n_name', True)} AS transparent, CAST(1 AS DOUBLE) AS same FROM nation",
+    "candidate_search": f"WITH {_TOK} SELECT DISTINCT item_id FROM tok WHERE levenshtein(t, 'thand') <= 1 OR {_soundex('t', True)} = 'T530'",
     "levenshtein_pairs": f"WITH {_P} SELECT a, b, round(1 - levenshtein(an, bn) / greatest(strlen(an), strlen(bn)), 9) AS by_bytes, round(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), 9) AS by_chars FROM p",
     "jaro_winkler_nations": "SELECT x.n_name, y.n_name AS other, round(jaro_winkler_similarity(x.n_name, y.n_name), 9) AS jw FROM nation x JOIN nation y ON x.n_name < y.n_name",
     "haversine_nearby": f"""

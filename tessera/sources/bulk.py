@@ -147,3 +147,8 @@ def event_log(segments: DataFrame, key: str) -> DataFrame:
     """case, activity, timestamp, lifecycle rows of segments: start and, where closed, complete; no personal reference."""
     ends = F.array_compact(F.array(F.struct(F.lit("start").alias("lifecycle"), F.col("start_ms").alias("timestamp_ms")), F.when(F.col("end_ms").isNotNull(), F.struct(F.lit("complete").alias("lifecycle"), F.col("end_ms").alias("timestamp_ms")))))
     return segments.select(F.col(key).alias("case"), F.col("stage").alias("activity"), F.inline(ends))
+
+
+def resource(kind: str, **fields: Column) -> Column:
+    """A resource of a search bundle as JSON text, missing fields left out."""
+    return F.to_json(F.struct(F.lit(kind).alias("resourceType"), *[v.alias(k) for k, v in fields.items()]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import is_folder, work_path
+from tessera.session import is_folder, materialize, work_path
 
 ENVELOPE = T.StructType([
     T.StructField("event_id", T.StringType()), T.StructField("schema_version", T.IntegerType()), T.StructField("entity", T.StringType()), T.StructField("kind", T.StringType()),
@@ -43,11 +43,18 @@ def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain(outbox: DataFrame, publish: Callable[[DataFrame], None]) -> DataFrame:
-    """Hand unpublished rows on and return the outbox with them marked; per key they keep their order by id."""
+def drain(outbox: DataFrame, publish: Callable[[DataFrame], DataFrame], now: str) -> DataFrame:
+    """Hand the waiting rows to ``publish``, which returns (id, ok), and return the outbox with published rows marked.
+
+    Rows count as published up to the first failure, in the order of their ids; what went out
+    behind it goes again, so delivery is at least once and, by key, in order.
+    """
     todo = outbox.where("published_at IS NULL")
-    publish(todo.repartition("pid").sortWithinPartitions("pid", "id"))
-    return outbox.withColumn("published_at", F.coalesce("published_at", F.current_timestamp()))
+    told = materialize(publish(todo.repartition("pid").sortWithinPartitions("pid", "id")), "outbox-told")
+    first_bad = told.where("NOT ok").agg(F.min("id").alias("first_bad"))
+    sent = F.col("published_at").isNull() & (F.col("first_bad").isNull() | (F.col("id") < F.col("first_bad")))
+    marked = outbox.crossJoin(F.broadcast(first_bad))  # one row
+    return marked.withColumn("published_at", F.when(sent, F.lit(now).cast("timestamp")).otherwise(F.col("published_at"))).drop("first_bad")
 
 
 def purge(outbox: DataFrame, cutoff: str) -> DataFrame:
