@@ -5,6 +5,7 @@ Null means not comparable and stays null unless a rule below says otherwise.
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 import pandas as pd
@@ -39,6 +40,7 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
+@functools.lru_cache(1 << 16)
 def jaro_winkler_text(a: str, b: str) -> float:
     """Jaro, raised for up to four common first characters where it is above 0.7; both empty 1, one empty 0."""
     s = jaro(a, b)

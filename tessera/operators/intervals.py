@@ -52,12 +52,15 @@ def elapsed_parts(segments: DataFrame, clocks: DataFrame, key: str) -> DataFrame
     NNVA. Unknown categories count as UNVA.
     """
     rank = F.when(F.col("category") == "VA", 1).when(F.col("category") == "NNVA", 2).otherwise(3)
-    s = segments.withColumn("__rank", rank)
-    out = clocks.select(key, (F.col("t1") - F.col("t0")).alias("lead_ms"))
-    for k, name in ((1, "vt_ms"), (2, "pt_ms"), (3, "all_ms")):
-        out = out.join(covered(s.where(F.col("__rank") <= k), name, key), key, "left")
-    touch = s.where("__rank <= 2").groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("touch_ms"))
-    out = out.join(touch, key, "left").na.fill(0, ["vt_ms", "pt_ms", "all_ms", "touch_ms"])
+    before = Window.partitionBy(key).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    s = segments.select(key, "start_ms", "end_ms", rank.alias("__rank"))
+    names = {1: "vt_ms", 2: "pt_ms", 3: "all_ms"}
+    # What a segment adds to the union of its rank and below lies beyond the furthest end before it; one sort serves all three.
+    reached = {f"__to{k}": F.max(F.when(F.col("__rank") <= k, F.col("end_ms"))).over(before) for k in names}
+    s = s.withColumns(reached)
+    adds = lambda k: F.when(F.col("__rank") <= k, F.greatest(F.col("end_ms") - F.greatest(F.col("start_ms"), F.coalesce(f"__to{k}", "start_ms")), F.lit(0)))
+    sums = s.groupBy(key).agg(*(F.sum(adds(k)).alias(n) for k, n in names.items()), F.sum(F.when(F.col("__rank") <= 2, F.col("end_ms") - F.col("start_ms"))).alias("touch_ms"))
+    out = clocks.select(key, (F.col("t1") - F.col("t0")).alias("lead_ms")).join(sums, key, "left").na.fill(0, ["vt_ms", "pt_ms", "all_ms", "touch_ms"])
     share = lambda c: F.when(F.col("lead_ms") > 0, F.round(F.col(c) / F.col("lead_ms"), 9))
     return out.select(
         key, "lead_ms", F.col("vt_ms").alias("va_ms"), (F.col("pt_ms") - F.col("vt_ms")).alias("nnva_ms"), (F.col("all_ms") - F.col("pt_ms")).alias("unva_ms"),

@@ -123,6 +123,12 @@ def blocked_pairs(df: DataFrame, key: str, blocks: Column) -> DataFrame:
     return rows.join(other, "block").where("k < j").select(F.col("k").alias("a"), F.col("j").alias("b")).distinct()
 
 
+def block_stars(df: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Pairs (a, b) of each block's smallest row with its others: they connect what :func:`blocked_pairs` connects, at the size of the blocks."""
+    rows = df.select(F.col(key).alias("b"), F.explode(F.array_distinct(blocks)).alias("block")).where("block IS NOT NULL AND block != ''")
+    return rows.join(rows.groupBy("block").agg(F.min("b").alias("a")), "block").where("a < b").select("a", "b").distinct()
+
+
 def transition_gaps(moves: DataFrame, place: DataFrame, node: str, parent: str, levels: int) -> DataFrame:
     """For moves (from_node, to_node), the ancestor of either end ``levels`` up a containment table."""
     up = place.select(F.col(node).alias("n"), F.col(parent).alias("p"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import materialize
+
 
 def guarded_share(n: Column, of: Column, digits: int = 1) -> Column:
     """Percentage rounded to ``digits`` decimals, 0 where nothing is counted."""
@@ -45,15 +47,25 @@ def entropy(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), F.lit(0.0)).otherwise(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)))
 
 
+def numbered(df: DataFrame, order: list[Column], total: str) -> DataFrame:
+    """``df`` with rank and upto (sum of ``total`` so far) in a global order: ranges are sorted side by side and shifted by what stands before them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "rollup-ranges")
+    sums = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"), F.sum(total).alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    shifts = sums.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__sum"))
+    own = Window.partitionBy("__part").orderBy(*order)
+    rows = parts.join(F.broadcast(shifts), "__part")
+    return rows.withColumns({"rank": (F.col("__rows") + F.row_number().over(own)).cast("int"), "upto": F.col("__sum") + F.sum(total).over(own.rowsBetween(Window.unboundedPreceding, 0))}).drop("__part", "__rows", "__sum")
+
+
 def pareto(counts: DataFrame, key: str, n: str = "n", top: int | None = None) -> DataFrame:
     """Counts by falling count then key, with share and cumulative share of what is shown."""
     if top:
         counts = counts.orderBy(F.desc(n), key).limit(top)
-    # A row a distinct key meets in this order; the keys of a report are few.
-    order = Window.orderBy(F.desc(n), key)
-    total = F.sum(n).over(Window.partitionBy())
-    upto = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(key, n, F.row_number().over(order).alias("rank"), (F.col(n) / total).alias("share"), (upto / total).alias("cumulative"))
+    ranked = numbered(counts.select(key, n), [F.desc(n), F.asc(key)], n)
+    total = counts.agg(F.sum(n).alias("__total"))
+    return ranked.crossJoin(F.broadcast(total)).select(key, n, "rank", (F.col(n) / F.col("__total")).alias("share"), (F.col("upto") / F.col("__total")).alias("cumulative"))  # one row
 
 
 def gauges(series: DataFrame, key: str, n: str, cap: int = 50, floor: int = 5) -> DataFrame:

@@ -95,14 +95,14 @@ def fuzzy_terms(index: DataFrame, words: list[str], most: int | None = None) ->
 def fuzzy(index: DataFrame, text: str, key: str, most: int | None = None) -> DataFrame:
     """key, hits: documents with a token near some word, and the number of words found."""
     words = re.findall(r"[^\W_]+", text.lower())
-    return index.join(F.broadcast(fuzzy_terms(index, words, most)), "token").groupBy(key).agg(F.countDistinct("term").alias("hits"))
+    return index.join(fuzzy_terms(index, words, most), "token").groupBy(key).agg(F.countDistinct("term").alias("hits"))
 
 
 def sounds_like(index: DataFrame, text: str, key: str) -> DataFrame:
     """key of documents with a token of the same Soundex code as some word."""
     words = re.findall(r"[A-Za-z]+", text)
     codes = reduce(Column.__or__, [soundex("token") == soundex(F.lit(w)) for w in words], F.lit(False))
-    return index.join(F.broadcast(index.select("token").distinct().where(codes)), "token", "left_semi").select(key).distinct()
+    return index.join(index.select("token").distinct().where(codes), "token", "left_semi").select(key).distinct()
 
 
 def candidates(index: DataFrame, text: str, key: str, identifiers: DataFrame | None = None) -> DataFrame:

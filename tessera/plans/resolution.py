@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
@@ -16,10 +16,13 @@ from tessera.sources import bulk
 from tessera.streaming import events as ST
 
 
+def _blocks() -> Column:
+    return F.array(F.concat_ws("|", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000)))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of one nation and segment whose balances lie in the same thousand."""
-    c = table(spark, sf_dir, "customer")
-    return R.blocked_pairs(c, "c_custkey", F.array(F.concat_ws("|", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000))))
+    """Pairs of customers of one nation and segment whose balances lie in the same thousand."""
+    return R.blocked_pairs(table(spark, sf_dir, "customer"), "c_custkey", _blocks())
 
 
 def _both(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -108,7 +111,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identity_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities of customers chained by nation, segment and thousand of balance."""
-    return G.identity_closure(_pairs(spark, sf_dir))
+    return G.identity_closure(R.block_stars(table(spark, sf_dir, "customer"), "c_custkey", _blocks()))
 
 
 def _containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +176,7 @@ def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events replayed as a stream, each once, and the users' last state."""
     path = f"{sf_dir}/events.parquet"
-    rows = ST.dedup_files(spark, path, spark.read.parquet(path).schema, ["event_id"])
+    rows = ST.dedup_files(spark, path, spark.read.parquet(path).schema, ["event_id"], "ts")
     e = rows.select(F.lit("user").alias("entity"), F.col("user_id").cast("string").alias("pid"), F.when(F.col("event_type") == "error", "deleted").otherwise("updated").alias("kind"), F.col("event_id").alias("seq"))
     empty = spark.createDataFrame([], "ref string, alive boolean, last_seq long")
     return ST.apply_presence(empty, e)

@@ -168,7 +168,7 @@ def folder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of parts by size and key."""
+    """The second page of parts by size and key."""
     p = table(spark, sf_dir, "part").select("p_size", "p_partkey")
     return R.page(p, ["p_size", "p_partkey"], (3, 50), 40)
 
@@ -184,7 +184,7 @@ def merged_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of nations by the sets of brands their suppliers ship."""
     line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
-    s = F.broadcast(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     sets = line.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey").agg(F.collect_set("p_brand").alias("brands"))
     # Nations are 25 by definition of the table.

@@ -67,13 +67,16 @@ def freshness(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("topic").agg(F.max("occurred_at").alias("watermark"), F.max("offset").alias("offset"))
 
 
-def dedup_files(spark: SparkSession, path: str, schema: T.StructType, key: list[str]) -> DataFrame:
-    """The rows of a folder of Parquet files, replayed as a stream, each key once; returned from the stream's output table."""
+def dedup_files(spark: SparkSession, path: str, schema: T.StructType, key: list[str], at: str, delay: str = "1 hour") -> DataFrame:
+    """The rows of a folder of Parquet files, replayed as a stream, each key once; returned from the stream's output table.
+
+    A key is remembered until the watermark, ``delay`` behind the latest ``at``, has passed it.
+    """
     out, check = work_path(spark, "stream-out"), work_path(spark, "stream-check")
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema)
     # A source of files is a folder; a single file is named by its pattern there.
     source = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
-    stream = source.dropDuplicates(key)
+    stream = source.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", delay).dropDuplicatesWithinWatermark(key).drop("__at")
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(schema).parquet(out)

@@ -189,3 +189,56 @@ def test_late_events_change_nothing(spark):
 def test_envelopes(spark):
     raw = spark.createDataFrame([('{"event_id":"1","kind":"created","entity":"p","pid":"x","seq":1}',), ("{",), ('{"event_id":"2","kind":"odd"}',), ('{"event_id":"3","kind":"merged","schema_version":9}',)], "value string")
     assert [r.event_id for r in ST.envelopes(raw).collect()] == ["1"]
+
+
+def test_rate_limit_counts_what_it_allowed(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(r.randrange(4), i, r.randrange(500)) for i in range(300)]
+    got = {x.id: x.allowed for x in D.rate_limited(spark.createDataFrame(rows, "who long, id long, at long"), "who", "at", "id", 3, 60).collect()}
+    for who in range(4):
+        recent = []
+        for w, i, at in sorted((x for x in rows if x[0] == who), key=lambda x: (x[2], x[1])):
+            recent = [t for t in recent if t > at - 60]
+            assert got[i] == (len(recent) < 3)
+            if got[i]:
+                recent.append(at)
+
+
+def test_drain_stops_at_the_first_failure(spark):
+    box = spark.createDataFrame([(i, i % 3, None) for i in range(10)], "id long, pid long, published_at timestamp")
+    sent = ST.drain(box, lambda todo: todo.select("id", (F.col("id") != 6).alias("ok")), "2024-01-01 00:00:00")
+    assert sorted(r.id for r in sent.where("published_at IS NOT NULL").collect()) == [0, 1, 2, 3, 4, 5]
+    assert ST.drain(sent, lambda todo: todo.select("id", F.lit(True).alias("ok")), "2024-01-02 00:00:00").where("published_at IS NULL").count() == 0
+
+
+def test_national_identifiers(spark):
+    from tessera.functions import identifiers as I
+
+    good = {"nhs": "9434765919", "us_ssn": "123456789", "nl_bsn": "111222333", "se_personnummer": "8112189876", "bg_egn": "7523169263", "ee_ik": "37605030299", "pl_pesel": "44051401359", "pt_nif": "123456789", "be_nn": "85073003328", "br_cpf": "11144477735"}
+    one = spark.range(1)
+    for scheme, text in good.items():
+        n, check = I.NUMERIC[scheme]
+        bad = text[:-1] + str((int(text[-1]) + 1) % 10)
+        told = one.select(check(F.lit(text)).alias("good"), check(F.lit(bad)).alias("bad"), check(F.lit("x")).alias("odd")).head()
+        assert told.good and not told.odd and (not told.bad or scheme == "us_ssn"), scheme
+    told = one.select(I.spanish(F.lit("12345678Z")), I.spanish(F.lit("X1234567L")), I.spanish(F.lit("12345678A")), I.finnish(F.lit("131052-308T")), I.finnish(F.lit("131052-308U")), I.french(F.lit("255081416802538")), I.french(F.lit("255081416802539"))).head()
+    assert tuple(told) == (True, True, False, True, False, True, False)
+
+
+def test_matcher_settings():
+    from tessera.operators import evidence as E
+
+    assert E.config_problems(E.WEIGHTS["organization"], 0.85) == [] and E.config_problems({"a": -1.0, "b": float("nan")}, 1.5, 0) == ["weight a", "weight b", "threshold", "proof_bits"]
+
+
+def test_pareto_over_many_keys(spark):
+    from tessera.operators.rollups import pareto
+
+    rows = [(f"k{i:04}", (i * 7919) % 50 + 1) for i in range(500)]
+    got = sorted((r.rank, r.key, r.n, r.cumulative) for r in pareto(spark.createDataFrame(rows, "key string, n long"), "key").collect())
+    want, upto, total = sorted(rows, key=lambda x: (-x[1], x[0])), 0, sum(n for _, n in rows)
+    for i, ((rank, key, n, cumulative), (k, m)) in enumerate(zip(got, want)):
+        upto += m
+        assert (rank, key, n) == (i + 1, k, m) and abs(cumulative - upto / total) < 1e-12
