@@ -24,17 +24,33 @@ def small(n: Column | str, floor: int = FLOOR) -> Column:
 
 
 def choose_suppressed(counts: list[int], partitions: list[list[int]], floor: int = FLOOR) -> set[int]:
-    """Cells of one table to hide: all below the floor, zero too, and then, until nothing changes, the smallest
-    visible cell of each partition in which exactly one is hidden (the first of equal ones)."""
-    hidden = {i for i, n in enumerate(counts) if n < floor}
-    changed = True
-    while changed:
-        changed = False
-        for cells in partitions:
-            shown = [i for i in cells if i not in hidden]
-            if shown and len(cells) - len(shown) == 1:
-                hidden.add(min(shown, key=lambda i: counts[i]))
-                changed = True
+    """Cells of one table to hide: all below the floor, zero too, and the smallest visible cell (the first of equal
+    ones) of each partition in which exactly one is hidden, partition by partition in turn until a whole turn adds none.
+
+    Each partition keeps the number of its hidden cells, so a turn costs what it hides.
+    """
+    owners: dict[int, list[int]] = {}
+    for p, cells in enumerate(partitions):
+        for i in cells:
+            owners.setdefault(i, []).append(p)
+    hidden, n_hidden = set(), [0] * len(partitions)
+
+    def hide(i: int) -> None:
+        hidden.add(i)
+        for p in owners.get(i, ()):
+            n_hidden[p] += 1
+
+    for i, n in enumerate(counts):
+        if n < floor:
+            hide(i)
+    turn, quiet = 0, 0
+    while quiet < len(partitions):
+        p, turn = turn % len(partitions), turn + 1
+        if n_hidden[p] == 1 < len(partitions[p]):
+            hide(min((i for i in partitions[p] if i not in hidden), key=counts.__getitem__))
+            quiet = 0
+        else:
+            quiet += 1
     return hidden
 
 

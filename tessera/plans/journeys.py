@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import disclosure as D
 from tessera.operators import intervals as I
+from tessera.operators import rules as RL
 from tessera.operators import variants as V
 from tessera.session import materialize, millis, table
 
@@ -129,7 +130,7 @@ def variants_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a purchase and without an error against the rest, small sides withheld."""
     has = segments(spark, sf_dir).groupBy("user_id").agg(F.collect_set("stage").alias("stages"), F.count(F.lit(1)).alias("n"))
-    match = F.array_contains("stages", "purchase") & ~F.array_contains("stages", "error")
+    match = RL.matches(["stage:purchase"], ["stage:error"], {"stage": {"signup", "view", "click", "purchase", "error"}})
     sides = has.groupBy(F.when(match, "matched").otherwise("complement").alias("side")).agg(F.count(F.lit(1)).alias("instances"))
     return sides.select("side", F.when(~D.small("instances"), F.col("instances")).alias("instances"), D.small("instances").alias("withheld"))
 
@@ -144,6 +145,22 @@ def attrition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.inline(steps)).withColumn("parent", F.when(F.col("step") > 0, F.col("step") - 1))
 
 
+def journey_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a user: lead time, value and process ratios, handoffs, stages, and whether the journey is still open."""
+    s = segments(spark, sf_dir)
+    parts = I.elapsed_parts(s, clocks(s), "user_id").select("user_id", "lead_ms", "va_ratio", "pt_ratio")
+    handed = I.gaps(s, "user_id").groupBy("user_id").agg(F.count_if("handoff").alias("handoffs"))
+    shape = s.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("stages"), (~F.bool_or(F.col("stage") == "purchase")).alias("censored"))
+    return parts.join(shape, "user_id").join(handed, "user_id", "left").fillna(0, ["handoffs"])
+
+
+def constraint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage that most of the waste lies in, and the handover that loses the most time."""
+    s = segments(spark, sf_dir)
+    waste = I.covered(s.where("category != 'VA'"), "ms", "user_id", "stage").groupBy("stage").agg(F.sum("ms").alias("ms"))
+    return RL.findings(waste, I.gaps(s, "user_id"), 0.25)
+
+
 def suppressed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers by nation and segment, small cells and their complements withheld."""
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -196,7 +213,7 @@ def chain_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     interval_union_gaps, elapsed_parts, time_by_stage, process_map_edges, stage_anchors, compliance_standard, kaplan_meier, log_rank, flow_little_law, step_conformance, step_out_of_order,
-    conformance_share, journey_dq, variants_pareto, rule_split, attrition, suppressed_cells, suppressed_primary, masked_values, hash_chain_verify, chain_after_erasure, chain_checkpoints,
+    conformance_share, journey_dq, variants_pareto, rule_split, attrition, suppressed_cells, suppressed_primary, masked_values, hash_chain_verify, chain_after_erasure, chain_checkpoints, journey_features, constraint_findings,
 )}
 
 _S = """s AS (SELECT user_id, event_id, event_type AS stage, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type IN ('signup', 'click') THEN 2 ELSE 3 END AS rank,
@@ -283,6 +300,18 @@ ORACLE = {
     "suppressed_primary": """
         SELECT c_nationkey, c_mktsegment, CASE WHEN n >= 8 THEN n END AS n, n < 8 AS withheld FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)""",
     "masked_values": "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN c_name ELSE regexp_replace(left(c_name, length(c_name) - 4), '[\\p{L}\\p{N}]', '*', 'g') || right(c_name, 4) END AS masked FROM customer",
+    "journey_features": f"""
+        WITH {_S}, {_union('v', 'rank = 1')}, {_union('p', 'rank <= 2')},
+        g AS (SELECT user_id, stage, a, max(b) OVER w AS f, arg_max(stage, (b, a, stage)) OVER w AS pv FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        h AS (SELECT user_id, count(*) FILTER (a > f AND pv <> stage) AS handoffs FROM g GROUP BY 1),
+        c AS (SELECT user_id, max(b) - min(a) AS lead_ms, array_to_string(list_sort(list(DISTINCT stage)), ',') AS stages, NOT bool_or(stage = 'purchase') AS censored FROM s GROUP BY 1)
+        SELECT user_id, lead_ms, round(coalesce(v.ms, 0) / lead_ms, 9) AS va_ratio, round(coalesce(p.ms, 0) / lead_ms, 9) AS pt_ratio, stages, censored, handoffs FROM c JOIN h USING (user_id) LEFT JOIN v USING (user_id) LEFT JOIN p USING (user_id)""",
+    "constraint_findings": f"""
+        WITH {_S}, {_union('u', 'rank > 1', 'user_id, stage')}, w AS (SELECT stage, CAST(sum(ms) AS BIGINT) AS ms FROM u GROUP BY 1),
+        g AS (SELECT stage, a, max(b) OVER k AS f, arg_max(stage, (b, a, stage)) OVER k AS pv FROM s WINDOW k AS (PARTITION BY user_id ORDER BY a, b, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT pv || '>' || stage AS subject, CAST(sum(a - f) AS BIGINT) AS ms FROM g WHERE a > f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+        x AS (SELECT 'stage_dominates_waste' AS rule, stage AS subject, ms AS recoverable_ms FROM w WHERE ms > 0.25 * (SELECT sum(ms) FROM w) UNION ALL SELECT 'longest_gap', subject, ms FROM l)
+        SELECT *, CAST(row_number() OVER (ORDER BY recoverable_ms DESC, rule, subject) AS INTEGER) AS rank FROM x""",
     "hash_chain_verify": f"""
         {_LOG}, t AS (SELECT user_id, n, event_id, hash, CASE WHEN event_id % 97 = 0 THEN 'changed' ELSE event_type END AS ty, CASE WHEN event_id % 89 = 0 AND hash IS NOT NULL THEN 'broken' ELSE prev END AS pv, lag(hash) OVER (PARTITION BY user_id ORDER BY n) AS lh FROM c),
         g AS (SELECT user_id, count(*) AS n_rows, count(hash) AS n_chained, count(*) FILTER (hash <> sha256(coalesce(pv, '') || chr(31) || event_id || chr(31) || ty)) AS n_changed, count(*) FILTER (hash IS NOT NULL AND pv IS DISTINCT FROM lh) AS n_unlinked,

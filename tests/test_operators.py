@@ -242,3 +242,16 @@ def test_pareto_over_many_keys(spark):
     for i, ((rank, key, n, cumulative), (k, m)) in enumerate(zip(got, want)):
         upto += m
         assert (rank, key, n) == (i + 1, k, m) and abs(cumulative - upto / total) < 1e-12
+
+
+def test_rules_refuse_what_they_do_not_know(spark):
+    from tessera.operators import rules
+
+    known = {"stage": {"a", "b"}}
+    assert rules.parse_rule("stage:a", known) == ("stage", "a")
+    for text in ("stage", "stage:", "colour:red", "stage:c"):
+        with pytest.raises(ValueError):
+            rules.parse_rule(text, known)
+    df = spark.createDataFrame([(1, ["a", "b"], "home"), (2, ["a"], None), (3, None, "home")], "id int, stages array<string>, setting string")
+    of = lambda *x: sorted(r.id for r in df.where(rules.matches(*x)).collect())
+    assert of([], []) == [1, 2, 3] and of(["stage:a"], ["setting:home"]) == [2] and of([], ["stage:b"]) == [2, 3]
