@@ -40,7 +40,7 @@ PIECE, TOGETHER = 1 << 16, 4096
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, STEPPED)
 _PAIRS = 1_000_000
 #: Pairs of tokens remembered by :class:`Stepped`, by hash; a new pair takes the place of an old one.
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
 _P, _K = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,6 +227,8 @@ class Stepped:
             count[[i for i, _ in found]] = [len(f) for _, f in found]
             first = np.cumsum(count) - count
             self.ends.append((first, count, *(np.array(x, np.int64) for x in zip(*chain.from_iterable(f for _, f in found)))))
+        for memo in v._spines:  # they are in arrays now; few are needed again
+            memo.clear()
         self.keys, self.known = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
 
     def follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,7 +263,7 @@ class Stepped:
         first, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for width in WIDTHS:
             some = order[(sizes[order] > least) & (sizes[order] <= width)]
-            least, step = width, max(1, 4_000_000 // ((width + 1) * width))
+            least, step = width, max(1, 1_500_000 // ((width + 1) * width))
             for i in range(0, len(some), step):
                 rows = some[i : i + step]
                 ids, n = self._in_step([words[r] for r in rows], sizes[rows], width)

@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import materialize, ship
 
-#: Texts handled at once inside one Arrow batch.
-BLOCK = 1024
 #: Tells the rows of a staged table apart, whatever their doc_id; and holds their other columns.
 ROW, REST = "__row", "__rest"
 
@@ -38,7 +37,7 @@ def restored(name: str) -> Column:
     return F.col(name if name in ("doc_id", "text") else f"{REST}.{quoted(name)}").alias(name)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, setup: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``setup`` runs once a task and its value goes first to ``fn``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +50,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def blocks(values: list, size: int = BLOCK) -> Iterator[list]:
+def blocks(values: list, size: int) -> Iterator[list]:
     for i in range(0, len(values), size):
         yield values[i : i + size]

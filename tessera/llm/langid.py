@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import map_batches, quoted
-from tessera.session import ship
+from tessera.session import materialize, ship
 
 DIM = 1 << 15
 SAMPLE = 4000
@@ -37,6 +38,8 @@ CALIBRATE = 5
 #: Nats an n-gram by which a text may be less likely than its language's median text, and the
 #: number of n-grams at which sampling alone doubles the square of that.
 SLACK, SHORT = 1.5, 100
+#: Most languages whose numbers of rows are broadcast; beyond, a join shuffles.
+BROADCAST = 1 << 16
 UNKNOWN = "und"
 _STEP = 1 << 20
 _K = np.uint32(0x9E3779B1)
@@ -194,7 +197,9 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(29), "doc_id"), 11) + 1) / float(1 << 53)
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     key = F.struct((-F.log(uniform) * F.col("rows")).alias("key"), F.xxhash64("text", "lang").alias("tie"))
-    keyed = train.join(sizes, "lang").select(key.alias("key"), "lang", "text")
+    sizes = materialize(sizes, "lang-sizes")
+    few = sizes.count() <= BROADCAST
+    keyed = train.join(F.broadcast(sizes) if few else sizes, "lang").select(key.alias("key"), "lang", "text")
     # The last of the sample, and how many stand before it; rows that tie with it are equal, and fill the sample.
     last = keyed.select("key").orderBy("key").limit(sample).agg(F.max("key").alias("last")).select("last.*").head()
     if last["key"] is None:
@@ -245,8 +250,8 @@ def identify(docs: DataFrame, model: tuple | None, columns: tuple[str, ...] = ("
             known.append(floors is None or shortfall(at, n, floors[0], y, floors[1][y]) <= floors[2])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], [*columns, "lang_pred", "score", "known"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return map_batches(docs.select(*columns, "text"), predict, f"{kinds}, lang_pred string, score double, known boolean", letter_table)
+    told = [T.StructField(c, k) for c, k in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("known", T.BooleanType()))]
+    return map_batches(docs.select(*columns, "text"), predict, T.StructType([*(docs.schema[c] for c in columns), *told]), letter_table)
 
 
 def language_model(docs: DataFrame, sample: int = SAMPLE) -> tuple | None:

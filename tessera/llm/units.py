@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a block; a longer text is handled in pieces of that size.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Bytes, estimated, that a memo holds before it is emptied; units longer than ``SHORT`` bytes aren't kept.
-MEMO, ENTRY, SHORT = 96 << 20, 160, 64
+MEMO, ENTRY, SHORT = 64 << 20, 200, 64
 
 _VISIBLE = np.arange(256) > 0x20
 

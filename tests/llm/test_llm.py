@@ -48,6 +48,24 @@ def order(r):
     return (r[0] is not None, r[0] or 0)
 
 
+def test_units_of_every_script_are_short_and_few():
+    """Texts without Latin letters are cut too, and a memo holds its bound whatever it reads."""
+    r = random.Random(3)
+    scripts = ("абвгдежзиклмнопрст", "αβγδεζηθικλμν", "אבגדהוזחט", "漢字仮名交文章")
+    texts = [" ".join("".join(r.choice(s) for _ in range(r.randrange(1, 8))) for _ in range(300)) for s in scripts for _ in range(20)]
+    assert all(max(map(len, units.cut(t))) <= 8 for t in texts)
+    for space in "\u0085\u00a0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000\ufeff\t\x1c":
+        assert units.cut(f"a{space} b") == [f"a{space} b"] and units.cut(f"a {space}b") == [f"a {space}b"]
+    t = bpe.Transducer(queries.tokenizer_path())
+    before, units.MEMO = units.MEMO, 50_000
+    try:
+        t.encode(texts)
+        t.encode(["x" * 500 + " y"])
+        assert t.memo.size < 50_000 and all(len(u) <= units.SHORT for u in t.memo.known)
+    finally:
+        units.MEMO = before
+
+
 def test_units_join_to_the_text():
     for text in ("a b\nc", " x", "a  b", "", "é ü\n\nz", LONG):
         assert "".join(units.cut(text)) == text
@@ -131,6 +149,20 @@ def test_chat(spark):
     assert chat.collapse_and_render(turns.limit(0)).count() == 0
 
 
+def test_chat_ties(spark, tmp_path):
+    """Turns of one number come by role and text, as in the query's SQL."""
+    r = random.Random(9)
+    rows = [(c, r.randrange(2), r.choice(["user", "bot", None]), r.choice(["a", "b", "", None, "word " * 2000])) for c in range(60) for _ in range(r.randrange(1, 4))]
+    rows += rows[:10]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    n, off = differing(con, queries.ORACLE["op3_snapshot_collapse"], queries.QUERIES["op3_snapshot_collapse"](spark, str(tmp_path)))
+    assert n > 10 and off == 0
+
+
 def test_top_products(spark):
     assert differing(connect(SF), queries.ORACLE["op4_metric_tree"], queries.QUERIES["op4_metric_tree"](spark, SF))[1] == 0
 
@@ -152,12 +184,56 @@ def test_top_products_of_odd_vectors(spark):
     assert few.count() == 2 and mtree.top_inner_products(df.limit(0)).count() == 0
 
 
-def test_best_first_computes_fewer_distances(spark, monkeypatch):
+def pages_of(spark, df, **settings):
+    pages, placed, top = mtree.build(mtree.quantize(df), **settings)
+    trees = defaultdict(list)
+    for n in pages.collect():
+        trees[n["tree"]].append(n)
+    return trees, top
+
+
+def test_best_first_computes_fewer_distances(spark):
+    """Stored bounds save most products: of clustered vectors in several leaves a query computes far fewer than there are."""
     r = np.random.default_rng(4)
-    x = np.concatenate([r.normal(c, 0.01, (200, 8)) for c in r.normal(0, 1, (10, 8))])
+    x = np.concatenate([r.normal(c, 0.01, (500, 8)) for c in r.normal(0, 1, (10, 8))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    pages, placed, top = mtree.build(mtree.quantize(df), capacity=500)
-    assert pages.where("rows IS NOT NULL").agg(F.sum(F.octet_length("ids") / 8)).head()[0] == 2000 and pages.select("dim", "tree").distinct().count() > 1
+    trees, top = pages_of(spark, df, capacity=100_000)
+    (nodes,) = trees.values()
+    nodes = sorted(nodes, key=lambda n: n["node"])
+    assert sum(len(n["ids"]) // 8 for n in nodes if n["rows"] is not None) == len(x)
+    centers, radius, up = (np.stack([np.frombuffer(n["center"]) for n in nodes]), np.array([n["radius"] for n in nodes]), np.array([n["up"] for n in nodes]))
+    kids = [np.array([m["node"] for m in nodes[1:] if m["parent"] == n["node"]], int) for n in nodes]
+    leaf = {n["node"]: (np.frombuffer(n["rows"], "<i8"), np.frombuffer(n["ids"], "<i8"), np.frombuffer(n["vectors"], "<f8").reshape(-1, 8), np.frombuffer(n["out"])) for n in nodes if n["rows"] is not None}
+    q = np.floor(64 * x)
+    shares = []
+    for i in range(0, len(x), 250):
+        computed = []
+        found = mtree._best_first(q[i], -1, None, centers, radius, up, kids, leaf, 5, top, computed)
+        shares.append(sum(computed) / len(x))
+        assert sorted((s for s, _, _ in found), reverse=True) == np.sort((q @ q[i]).astype(np.int64))[::-1][:5].tolist()
+    assert np.mean(shares) < 0.5 and max(shares) < 1.05
+
+
+def test_large_components_are_searched(spark):
+    """Components of a million, of more than 64-bit products hold, and beyond doubles' squares."""
+    r = random.Random(6)
+    for size in (1e6, 1e12, 1e200):
+        rows = [(i, [r.choice([-1, 1]) * size * r.random() for _ in range(4)]) for i in range(100)] + [(100, [3.0, 2.0, 1.0, 0.0]), (101, [1e308, 1.0, 1.0, 1.0])]
+        good = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows if i < 101]
+        want = Counter()
+        for i, e in good:
+            if i % 20 == 0:
+                score = lambda f: min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(e, f))))  # noqa: E731, B023
+                best = sorted((-score(f), j) for j, f in good if j != i)[:20]
+                want.update((i, k + 1, j, -s) for k, (s, j) in enumerate(best))
+        got = mtree.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        assert Counter(map(tuple, got.collect())) == want
+
+
+def test_many_dimensions(spark):
+    rows = [(i, [1.0] * (i % 90 + 1)) for i in range(360)]
+    got = mtree.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 18 * 3 and all((r.query_id - r.vec_id) % 90 == 0 for r in got)
 
 
 def words(line):
@@ -276,6 +352,58 @@ def test_language(spark, odd, empty):
     assert langid.keep_known_language(odd).columns == odd.columns
 
 
+def test_sample_is_exact_where_keys_tie(spark):
+    """One doc_id in all rows: its rows tie, and no more than the sample reaches the driver."""
+    rows = [(7, f"some words {i % 5} here", "en") for i in range(300)] + [(7, "quelques mots ici", "fr")] * 50
+    seen = []
+    train = langid.train_ftrl
+    langid.train_ftrl = lambda rows, *a: seen.append(len(rows)) or train(rows, *a)
+    try:
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40)
+    finally:
+        langid.train_ftrl = train
+    assert seen == [32] and set(model[0]) <= {"en", "fr"}
+
+
+def test_ngrams_at_the_border_of_a_step():
+    letters, text = langid.letter_table(), "the quick  brown-fox jumps " * 40
+    whole = langid.features(text, letters)
+    for step in (1, 2, 3, 7, 100):
+        before, langid._STEP = langid._STEP, step
+        try:
+            at, n = langid.features(text, letters)
+        finally:
+            langid._STEP = before
+        assert at.tolist() == whole[0].tolist() and n.tolist() == whole[1].tolist()
+
+
+def test_ftrl_equals_a_plain_one():
+    """The same weights as follow-the-regularised-leader written out for each coordinate and class."""
+    r = np.random.default_rng(8)
+    rows = [(np.sort(r.choice(40, 5, replace=False)), r.random(5), int(r.integers(3))) for _ in range(60)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        if i != langid.DIM and abs(z[i, c]) <= langid.L1:
+            return 0.0
+        shrunk = z[i, c] - (np.sign(z[i, c]) * langid.L1 if i != langid.DIM else 0)
+        return -shrunk / ((langid.BETA + n[i, c] ** 0.5) / langid.ALPHA + (langid.L2 if i != langid.DIM else 0))
+
+    for _ in range(langid.EPOCHS):
+        for at, x, y in rows:
+            some = [*zip(at.tolist(), x.tolist()), (langid.DIM, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in some for c in range(3)}
+            s = np.exp([sum(v * w[i, c] for i, v in some) for c in range(3)])
+            for c in range(3):
+                for i, v in some:
+                    g = v * (s[c] / s.sum() - (c == y))
+                    sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / langid.ALPHA
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    w, b = langid.train_ftrl(rows, 3)
+    assert np.allclose(w[:40], [[weight(i, c) for c in range(3)] for i in range(40)]) and np.allclose(b, [weight(langid.DIM, c) for c in range(3)])
+
+
 def test_temperature_and_sparsity():
     r = np.random.default_rng(0)
     rows = [(np.array([y, 10 + int(r.integers(50))]), np.array([0.7, 0.7]), int(y)) for y in r.integers(0, 3, 300)]
@@ -330,6 +458,34 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert {x.doc_id: x.component_id for x in got.collect()} == brute_near(rows, 1)
 
 
+def test_near_duplicates_below_the_threshold(spark):
+    """A group of 2,000 that is alike but not enough is searched without a pair of each two, and true links in it are found."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for k in r.sample(range(100), 13):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, rows[i][1].replace("w50", "other").replace("w51", "more")) for i in range(0, 2000, 100)]
+    seen = {}
+    write = near_dup.Tables.write
+
+    def counted(self, name, df):
+        out = write(self, name, df)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    near_dup.Tables.write = counted
+    try:
+        got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    finally:
+        near_dup.Tables.write = write
+    assert got == brute_near(rows, 1) and sum(a != b for a, b in got.items()) == 20
+    assert seen.get("pairs", 0) + seen.get("met", 0) < 40 * len(rows) < len(rows) ** 2 / 20
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
@@ -386,6 +542,27 @@ def test_lattice_sums_all_segmentations():
     assert uses[1].sum() == pytest.approx(2.0) and (uses.sum(0) * [0, 1, 1, 1, 2, 2]).sum() == pytest.approx(8.0)
 
 
+def test_lattice_of_a_long_word():
+    """Segments give what the whole matrix does, forward and in the expected uses; a word of a hundred thousand bytes is scored."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    pieces, logp = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    first = np.array([p.startswith(lattice.MARK) for p in pieces])
+    model = lattice.Lattice(pieces, lattice.normalized(np.exp(np.tile(logp, 2)), first, 1.0)[0])
+    r = random.Random(1)
+    word = "".join(r.choice("etaoin shrdlu".replace(" ", "")) for _ in range(700)).encode()
+    want, uses = model.score([word])[0], model.expected(pa.array([word], pa.binary()), np.array([2.0]))
+    before = lattice.SEGMENT, lattice.LONG
+    lattice.SEGMENT, lattice.LONG = 64, 100
+    try:
+        assert model.score([word])[0] == pytest.approx(want)
+        assert np.allclose(model.expected(pa.array([word], pa.binary()), np.array([2.0])), uses)
+    finally:
+        lattice.SEGMENT, lattice.LONG = before
+    assert model.score([word * 150])[0] < want
+
+
 def test_lattice_training_raises_likelihood(spark):
     import public_tokenizers
 
@@ -428,6 +605,34 @@ def test_mixing(spark, odd, empty):
     assert out.columns == odd.columns and max(Counter(r.doc_id for r in out.collect()).values()) <= 4
 
 
+def test_each_source_comes_near_its_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix_digest(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("longest")).collect()
+    assert len(rows) > 2
+    for r in rows:
+        assert abs(r.taken - r.target) <= r.longest and abs(r.taken - r.target) < 0.02 * r.target + 50
+
+
+def test_flow_costs_least():
+    """Against all flows in whole words: the largest, and of those the cheapest."""
+    r = random.Random(4)
+    for _ in range(25):
+        patterns = [(members, float(r.randrange(4))) for members in ((0,), (1,), (0, 1))]
+        quotas = [float(r.randrange(6)), float(r.randrange(6))]
+        options = []
+        for a in range(int(2 * patterns[0][1]) + 1):
+            for b in range(int(2 * patterns[1][1]) + 1):
+                for c in range(int(2 * patterns[2][1]) + 1):
+                    for d in range(int(2 * patterns[2][1]) - c + 1):
+                        if a + c <= quotas[0] and b + d <= quotas[1]:
+                            cost = sum(min(f, w) + 3 * max(0, f - w) for f, (_, w) in zip((a, b, c + d), patterns))
+                            options.append((-(a + b + c + d), cost))
+        flow = mixing.min_cost_flow(patterns, quotas, 2)
+        total = [sum(f.values()) for f in flow]
+        assert all(sum(f.get(s, 0) for f in flow) <= q + 1e-6 for s, q in enumerate(quotas))
+        assert (-sum(total), sum(min(f, w) + 3 * max(0, f - w) for f, (_, w) in zip(total, patterns))) == pytest.approx(min(options))
+
+
 def test_flow_of_overlapping_sources():
     # The shared pattern must serve the source that has nothing else, and nothing repeats while fresh words are left.
     flow = mixing.min_cost_flow([((0,), 100.0), ((0, 1), 100.0), ((1,), 0.0)], [100.0, 100.0], 2)
@@ -465,6 +670,17 @@ def test_pipeline(spark, tmp_path):
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last.collect())
 
 
+def test_columns_that_clash_stay(spark):
+    """Inner names of the operators in the input come out as they went in."""
+    names = ["__row", "__rest", "__gone", "__all", "__pattern", "__size", "__at", "__copies", "gone", "a.b", "found", "row"]
+    rows = [(i, f"{w} and some more words that say nothing", "en", "src0", *range(len(names))) for i, w in enumerate(["one", "two", "two"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for out in (line_dedup.drop_duplicate_lines(df), near_dup.keep_one_of_each(df), mixing.mix(df, F.array("source"), ("doc_id",)), langid.keep_known_language(df)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(tuple(r)[4:] == tuple(range(len(names))) for r in got)
+
+
 def test_rows_with_null_or_repeated_ids_are_told_apart(spark):
     """Neither unique lines nor whole documents go with a duplicate that shares their doc_id, and copies among them go."""
     rows = [(1, "a repeated line"), (None, "unique one\na repeated line"), (None, "unique two\nunique three"), (7, "alpha\na repeated line"), (7, "beta\ngamma"), (7, "beta\ndelta")]
