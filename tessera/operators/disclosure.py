@@ -86,15 +86,18 @@ def mask(value: Column | str, keep: int = 4) -> Column:
 
 def mask_person(df: DataFrame, sensitive: tuple[str, ...] = ("SSN", "TAX"), private: tuple[str, ...] = ("phone", "sms", "fax")) -> DataFrame:
     """Masks tax_id, sensitive identifiers, document numbers and private telecom of a person record, where the columns exist."""
-    struct = lambda x, **new: F.struct(*[new.get(f, x[f]).alias(f) for f in new.pop("fields")])
-    out = df
+    def element(fields: list[str], kind: str | None, value: str, hit: tuple[str, ...]):
+        def masked(x: Column) -> Column:
+            hidden = mask(x[value]) if kind is None else F.when(x[kind].isin(list(hit)), mask(x[value])).otherwise(x[value])
+            return F.struct(*[(hidden if f == value else x[f]).alias(f) for f in fields])
+
+        return masked
+
     names = {f.name: f.dataType for f in df.schema.fields}
-    if "tax_id" in names:
-        out = out.withColumn("tax_id", mask("tax_id"))
-    for column, key, value, hit in (("identifiers", "identifier_type", "value", sensitive), ("telecom", "system", "value", private), ("documents", None, "number", ())):
+    out = df.withColumn("tax_id", mask("tax_id")) if "tax_id" in names else df
+    for column, kind, value, hit in (("identifiers", "identifier_type", "value", sensitive), ("telecom", "system", "value", private), ("documents", None, "number", ())):
         if column in names:
-            fields = names[column].elementType.names
-            out = out.withColumn(column, F.transform(column, lambda x, k=key, v=value, h=hit, f=fields: struct(x, fields=f, **{v: F.when(x[k].isin(list(h)), mask(x[v])).otherwise(x[v]) if k else mask(x[v])})))
+            out = out.withColumn(column, F.transform(column, element(names[column].elementType.names, kind, value, hit)))
     return out
 
 

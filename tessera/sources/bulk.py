@@ -89,8 +89,10 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, kind: s
     return raw.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("__row"), F.when(F.size(broken) > 0, F.concat(F.lit("bad_cell:"), F.array_join(broken, ","))).alias("__error"), *cells)
 
 
-def read(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
-    """Rows of an import file; Parquet is an export format alone and refused."""
+def read(spark: SparkSession, path: str, kind: str, schema: T.StructType, most_rows: int = ROWS) -> DataFrame:
+    """Rows of an import file; Parquet is an export format alone and refused, and so is a file of more than ``most_rows`` lines."""
+    if kind in (*DELIMITERS, "jsonl") and spark.read.text(path).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
     if kind == "jsonl":
         return read_jsonl(spark, path, schema)
     if kind in DELIMITERS:
