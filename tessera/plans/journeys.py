@@ -300,6 +300,15 @@ ORACLE = {
     "suppressed_primary": """
         SELECT c_nationkey, c_mktsegment, CASE WHEN n >= 8 THEN n END AS n, n < 8 AS withheld FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)""",
     "masked_values": "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN c_name ELSE regexp_replace(left(c_name, length(c_name) - 4), '[\\p{L}\\p{N}]', '*', 'g') || right(c_name, 4) END AS masked FROM customer",
+    "journey_dq": f"""
+        WITH {_S}, c AS (SELECT user_id, min(a) AS t0, max(a) AS t1, arg_max(stage, (a, event_id)) AS final, bool_or(stage = 'signup') AND bool_or(stage = 'purchase') AS reached, max(b) AS far FROM s GROUP BY 1),
+        k AS (SELECT user_id, s.a, least(s.b, t1) AS b FROM s JOIN c USING (user_id) WHERE least(s.b, t1) > s.a), {_union('u', 'true').replace('FROM s WHERE', 'FROM k WHERE')},
+        o AS (SELECT user_id, bool_or(coalesce(a < pa, FALSE)) AS back FROM (SELECT user_id, a, lag(a) OVER (PARTITION BY user_id ORDER BY event_id) AS pa FROM s) GROUP BY 1),
+        r AS (SELECT c.*, back, coalesce(ms, 0) AS ms FROM c JOIN o USING (user_id) LEFT JOIN u USING (user_id)),
+        n AS (SELECT [('no_segments', count(*) FILTER (far IS NULL)), ('open_segment_past_closure', count(*) FILTER (far IS NULL AND final = 'purchase')), ('terminal_without_clock_stop', count(*) FILTER (final = 'purchase' AND user_id % 2 = 1)),
+            ('step_done_before_enrolled', count(*) FILTER (t1 < t0)), ('steps_out_of_order', count(*) FILTER (back)), ('segment_clipped_by_clock', count(*) FILTER (far > t1)),
+            ('coverage_below_floor', count(*) FILTER (t1 > t0 AND ms / (t1 - t0) < 0.2)), ('anchors_unreached', count(*) FILTER (NOT reached))] AS l FROM r)
+        SELECT x[1] AS code, x[2] AS n FROM (SELECT unnest(l) AS x FROM n)""",
     "journey_features": f"""
         WITH {_S}, {_union('v', 'rank = 1')}, {_union('p', 'rank <= 2')},
         g AS (SELECT user_id, stage, a, max(b) OVER w AS f, arg_max(stage, (b, a, stage)) OVER w AS pv FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
