@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 from tessera.llm.bpe import byte_alphabet
 from tessera.llm.common import blocks, map_batches
 from tessera.llm.units import UnitMemo
-from tessera.session import drop_path, work_path, written
+from tessera.session import drop_path, move_path, work_path
 
 FANOUT = 1024
 WINDOW = 32
@@ -42,6 +43,14 @@ WINDOW = 32
 TOGETHER = 4096
 #: Mean chunk length is LEAST + MASK + 1 ids, save that a document's last chunk is shorter.
 LEAST, MASK, MOST = 32, 127, 1024
+#: Ids of texts that are cut in one go; a longer text is cut alone.
+GROUP = 1 << 20
+#: Bytes that the memo of a worker holds while it encodes a store.
+MEMO = 128 << 20
+#: Head of a packed recipe: whether there is a doc_id, that with its sign bit turned, root, row, n_tokens. Then the hashes, then the ends
+#: as little-endian 64-bit integers. The first ``KEY`` bytes sort like (doc_id, nulls first; root).
+CHUNK = "hash binary, n_ids int, payload binary"
+HEAD, KEY = struct.Struct(">?Q32sQQ"), 41
 
 
 def _gear(n: int = 1 << 16) -> np.ndarray:
@@ -55,19 +64,19 @@ def _gear(n: int = 1 << 16) -> np.ndarray:
 _GEAR = _gear()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream, the last being its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _possible(ids: np.ndarray) -> np.ndarray:
+    """Places where the hash of the ``WINDOW`` ids before them lets a chunk end."""
     h, width = _GEAR[ids & 0xFFFF], 1
     while width < WINDOW:  # the hash of 2w ids from two hashes of w ids
-        older = np.zeros_like(h)
-        older[width:] = h[:-width]
-        h = h + (older << np.uint32(width))
+        h[width:] += h[:-width] << np.uint32(width)
         width *= 2
+    return np.flatnonzero((h >> np.uint32(20)) & np.uint32(MASK) == 0) + 1
+
+
+def _ends(possible: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids. A place before ``LEAST`` is never one, so no hash that began in front of the stream counts."""
     ends, last = [], 0
-    for e in (np.flatnonzero((h >> np.uint32(20)) & np.uint32(MASK) == 0) + 1).tolist():
+    for e in possible:
         while e - last > MOST:
             ends.append(last := last + MOST)
         if e - last >= LEAST:
@@ -79,9 +88,14 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream, the last being its length."""
+    return _ends(_possible(ids).tolist(), len(ids))
+
+
 @functools.lru_cache(1)
-def library_encoder(path: str):
-    """A memo that encodes new units with the tokenizers library. One a Python worker."""
+def _library(path: str):
+    """Encodes units with the tokenizers library. One a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -106,26 +120,50 @@ def library_encoder(path: str):
             many.append(np.diff(np.searchsorted(np.cumsum(size[ids[-1]]), ends) + 1, prepend=0))
         return np.concatenate(ids), np.concatenate(many)
 
-    return UnitMemo(encode)
+    return encode
+
+
+@functools.lru_cache(1)
+def library_encoder(path: str, store: str = "") -> UnitMemo:
+    """A memo of the library's ids. One a Python worker and store, so that no run profits from one before."""
+    return UnitMemo(_library(path), MEMO)
 
 
 def _encode(memo: UnitMemo, batch: pa.RecordBatch, end_id: int, width: str) -> pa.RecordBatch:
-    """Chunks as flat arrays: their hashes, ends and payloads, and the number of chunks of each document."""
-    hashes, ends, payloads, count, tokens, roots = [], [], [], [], [], []
-    for parts in memo.streams(batch.column("text")):
-        stream = np.concatenate([*parts, np.array([end_id], np.uint32)])
-        cuts, raw, wide = cut_points(stream), stream.astype(width).tobytes(), np.dtype(width).itemsize
-        own = [raw[a * wide : b * wide] for a, b in zip([0, *cuts], cuts)]
-        digests = [hashlib.sha256(p).digest() for p in own]
-        hashes += digests
-        payloads += own
-        ends += cuts
-        count.append(len(cuts))
-        tokens.append(len(stream))
-        roots.append(hashlib.sha256(b"".join(digests).hex().encode()).hexdigest())
-    chunks = pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(ends, pa.int64()), pa.array(payloads, pa.binary())], ["hash", "end", "payload"])
-    offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(roots, pa.string()), pa.ListArray.from_arrays(offsets, chunks)], ["doc_id", "n_tokens", "root", "chunks"])
+    """Payloads of the chunks of all documents, and a packed recipe of each."""
+    wide, end = np.dtype(width).itemsize, np.array([end_id], np.uint32)
+    chunks, recipes, parts, lengths, held = [], [], [], [], 0
+    named = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist())
+
+    def cut() -> None:
+        ids = np.concatenate(parts)
+        stops = np.cumsum(lengths)
+        starts, possible = stops - lengths, _possible(ids)
+        of = np.searchsorted(possible, [starts, stops], side="right").tolist()
+        raw, offsets = memoryview(ids.astype(width).tobytes()), [0]
+        for start, n, a, b, (row, doc_id) in zip(starts.tolist(), lengths, *of, named):
+            ends = _ends((possible[a:b] - start).tolist(), n)
+            offsets += [(start + e) * wide for e in ends]
+            own = offsets[-len(ends) - 1 :]
+            digests = b"".join([hashlib.sha256(raw[x:y]).digest() for x, y in zip(own, own[1:])])
+            root = hashlib.sha256(digests.hex().encode()).digest()
+            recipes.append(HEAD.pack(doc_id is not None, (doc_id or 0) + (1 << 63), root, row, n) + digests + np.array(ends, "<i8").tobytes())
+        chunks.append(pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.array(offsets, np.int32)), pa.py_buffer(raw)]))
+        parts.clear(), lengths.clear()
+
+    for text in memo.streams(batch.column("text")):
+        own = [*text, end]
+        parts += own
+        lengths.append(sum(map(len, own)))
+        held += lengths[-1]
+        if held > GROUP:
+            cut()
+            held = 0
+    if parts:
+        cut()
+    payload = pa.concat_arrays([*chunks, pa.array(recipes, pa.binary())])
+    doc = pa.array(np.arange(len(payload)) >= len(payload) - len(recipes))
+    return pa.RecordBatch.from_arrays([doc, payload], ["doc", "payload"])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, id_bytes: int = 2) -> None:
@@ -133,34 +171,37 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
 
     A null text counts as empty: its stream is the end id alone. Rows with equal or null doc_id
     stay separate documents; null ids come first, equal ids in the order of their roots. Other
-    columns are ignored. Encoding happens once: its staging table feeds the chunks and recipes.
+    columns are ignored. Encoding happens once: chunks and recipes leave it in the same rows and
+    part when they are written, so no payload is staged.
     """
     if not 0 <= end_id < 256**id_bytes:
         raise ValueError("end_id does not fit the store's id width")
     spark, width = docs.sparkSession, f"<u{id_bytes}"
-    staged_path = work_path(spark, "store-staged")
-    staged = written(
-        map_batches(
-            docs.select(F.col("doc_id").cast("long"), "text"),
-            lambda memo, batch: _encode(memo, batch, end_id, width),
-            "doc_id long, n_tokens long, root string, chunks array<struct<hash:binary,end:long,payload:binary>>",
-            lambda: library_encoder(tokenizer),
-        ),
-        staged_path,
+    encoded = map_batches(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text"),
+        lambda memo, batch: _encode(memo, batch, end_id, width),
+        "doc boolean, payload binary",
+        lambda: library_encoder(tokenizer, path),
     )
     # Copies of a chunk meet in the map-side half of this aggregate, so a chunk that fills a
-    # third of the corpus still sends one row a task.
-    staged.select(F.inline("chunks")).groupBy("hash").agg(F.any_value("payload").alias("payload")).select("hash", (F.octet_length("payload") / id_bytes).cast("int").alias("n_ids"), "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # third of the corpus still sends one row a task. A recipe has its row, so it has no copy.
+    chunk = lambda value: F.when(~F.col("doc"), value)
+    rows = encoded.distinct().select("doc", chunk(F.unhex(F.sha2("payload", 256))).alias("hash"), chunk((F.octet_length("payload") / id_bytes).cast("int")).alias("n_ids"), "payload")
+    staged = f"{path}/encoded"
+    rows.write.option("compression", "zstd").partitionBy("doc").parquet(staged)
+    if not move_path(spark, f"{staged}/doc=false", f"{path}/chunks"):  # no documents
+        spark.createDataFrame([], CHUNK).write.parquet(f"{path}/chunks")
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    recipe = staged.select("doc_id", "n_tokens", "root", F.transform("chunks", lambda c: F.struct(c.hash.alias("hash"), c.end.alias("end"))).alias("chunks"))
-    ranged = recipe.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("shard", F.spark_partition_id())
+    key = F.substring("payload", 1, KEY)
+    recipe = spark.read.schema(f"{CHUNK}, doc boolean").parquet(staged).where("doc").select("payload")
+    ranged = recipe.repartitionByRange(n, key).sortWithinPartitions(key).select("payload", F.spark_partition_id().alias("shard"))
     schema = "shard int, at long, doc_id long, before long, n_tokens long, chunks array<struct<hash:binary,end:long>>, root string"
     ranged.mapInArrow(_numbered, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    drop_path(spark, staged)
     sums = spark.read.parquet(f"{path}/recipes").groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.count(F.lit(1)).alias("docs"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard: as many as shuffle partitions
     sums.select("shard", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs0"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids0")).write.parquet(f"{path}/shards")
-    drop_path(spark, staged_path)
     level, nodes = 0, _recipes(spark, path).select(F.col("pos").alias("node"), F.col("root").alias("digest"))
     while True:
         level += 1
@@ -172,16 +213,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one sorted shard with the documents and ids in front of them."""
+    """Recipes of one sorted shard, unpacked, with the documents and ids in front of them."""
     docs, ids = 0, 0
     for batch in batches:
-        n = batch.column("n_tokens").to_numpy()
+        packed = batch.column("payload").to_pylist()
+        heads = [HEAD.unpack_from(p) for p in packed]
+        n = np.array([h[4] for h in heads], np.int64)
         before = ids + np.cumsum(n) - n
         at = docs + np.arange(len(n))
         docs, ids = docs + len(n), ids + int(n.sum())
-        columns = {"at": pa.array(at), "before": pa.array(before)}
-        names = ["shard", "at", "doc_id", "before", "n_tokens", "chunks", "root"]
-        yield pa.RecordBatch.from_arrays([columns[c] if c in columns else batch.column(c) for c in names], names)
+        many = [(len(p) - HEAD.size) // 40 for p in packed]
+        hashes = b"".join([p[HEAD.size : HEAD.size + 32 * k] for p, k in zip(packed, many)])
+        ends = np.frombuffer(b"".join([p[HEAD.size + 32 * k :] for p, k in zip(packed, many)]), "<i8")
+        hashes = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.arange(len(ends) + 1, dtype=np.int32) * 32), pa.py_buffer(hashes)])
+        chunks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.StructArray.from_arrays([hashes, pa.array(ends)], ["hash", "end"]))
+        doc_id = pa.array([h[1] - (1 << 63) if h[0] else None for h in heads], pa.int64())
+        root = pa.array([h[2].hex() for h in heads], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(at), doc_id, pa.array(before), pa.array(n), chunks, root], ["shard", "at", "doc_id", "before", "n_tokens", "chunks", "root"])
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -229,15 +277,24 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(None)
+def _behind(bit: int) -> np.ndarray:
+    """What each byte of a CRC, lowest first, gives to the CRC with 2**bit zero bytes behind."""
+    power = np.array([1 << 23], np.uint64)  # x^8
+    for _ in range(bit):
+        power = _times(power, power)
+    return np.stack([_times(np.arange(256, dtype=np.uint64) << np.uint64(8 * j), np.repeat(power, 256)) for j in range(4)])
+
+
 def crc_moved(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """What each CRC gives to the CRC of a stream in which ``zeros`` bytes follow its part."""
-    out, power, left = crc.astype(np.uint64), np.uint64(1 << 23), zeros.astype(np.int64).copy()  # x^8
+    out, left, bit = crc.astype(np.uint64), zeros.astype(np.int64), 0
     while left.any():
-        odd = left & 1 == 1
-        if odd.any():
-            out[odd] = _times(out[odd], np.full(int(odd.sum()), power))
-        power = _times(np.array([power]), np.array([power]))[0]
-        left >>= 1
+        odd = np.flatnonzero(left & 1)
+        if len(odd):
+            table, own = _behind(bit), out[odd].astype("<u8").view(np.uint8).reshape(-1, 8)
+            out[odd] = table[0][own[:, 0]] ^ table[1][own[:, 1]] ^ table[2][own[:, 2]] ^ table[3][own[:, 3]]
+        left, bit = left >> 1, bit + 1
     return out
 
 
@@ -252,10 +309,18 @@ def store_digests(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        crc, whole = [], []
-        for h, n, p in zip(*(batch.column(c).to_pylist() for c in ("hash", "n_ids", "payload"))):
-            whole.append(hashlib.sha256(p).digest() == h)
-            crc.append(zlib.crc32(np.frombuffer(p, dtype=f"<u{len(p) // n}").astype("<u4")) if whole[-1] else 0)
+        n, (_, offsets, data) = batch.column("n_ids").to_numpy(), batch.column("payload").buffers()
+        at = batch.column("payload").offset
+        offsets, view = np.frombuffer(offsets, np.int32)[at : at + len(n) + 1].astype(np.int64), memoryview(data or b"")
+        pairs = [*zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        whole = [hashlib.sha256(view[a:b]).digest() == h for h, (a, b) in zip(batch.column("hash").to_pylist(), pairs)]
+        size = np.diff(offsets)
+        width = int(size[0] // max(n[0], 1))
+        if width in (1, 2, 4) and (size == width * n).all():  # all ids as 32 bits at once
+            ids = memoryview(np.frombuffer(view[offsets[0] : offsets[-1]], f"<u{width}").astype("<u4").tobytes())
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(((offsets[:-1] - offsets[0]) // width * 4).tolist(), ((offsets[1:] - offsets[0]) // width * 4).tolist())]
+        else:
+            crc = [zlib.crc32(np.frombuffer(view[a:b], f"<u{(b - a) // k}").astype("<u4")) if ok else 0 for (a, b), k, ok in zip(pairs, n.tolist(), whole)]
         return pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n_ids"), pa.array(crc, pa.int64()), pa.array(whole, pa.bool_())], ["hash", "n_ids", "crc", "whole"])
 
     def moved(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,28 @@ def test_units_of_every_script_are_short_and_few():
         units.MEMO = before
 
 
+def test_memo_encodes_each_unit_once_within_its_bound():
+    asked = Counter()
+
+    def encode(own, joined):
+        asked.update(own)
+        return np.array([zlib.crc32(u) for u in own], np.uint32), np.ones(len(own), np.int64)
+
+    memo, words = units.UnitMemo(encode), [f" w{i:07d}" for i in range(400_000)]
+    texts = ["x" + "".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    want = [[zlib.crc32(u.encode()) for u in ("x", *words[i : i + 1000])] for i in range(0, len(words), 1000)]
+    assert memo.encode(texts) == want and memo.encode(texts) == want
+    assert set(asked.values()) == {1} and len(asked) == 400_001 == len(memo.known) and memo.size < units.MEMO
+
+
+def test_memo_tells_units_apart_whose_prints_are_equal(library, monkeypatch):
+    texts = ["one two three", "one  two\n\nthree", " three two one four", "é\0 é\0\0 " + "long" * 40 + " x", "", LONG] * 2
+    for same in (lambda self: np.zeros(len(self.at), np.uint64), lambda self: self.length.astype(np.uint64)):
+        monkeypatch.setattr(units.Spans, "prints", same)
+        memo = content_store.library_encoder(queries.tokenizer_path(), str(same))
+        assert memo.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_units_join_to_the_text():
     for text in ("a b\nc", " x", "a  b", "", "é ü\n\nz", LONG):
         assert "".join(units.cut(text)) == text
@@ -99,6 +122,34 @@ def test_store_reads_back_and_detects_damage(spark, library, tmp_path):
     assert not all(r.intact for r in content_store.store_digests(spark, path).collect())
 
 
+def test_store_stages_no_payload(spark, odd, empty, tmp_path, monkeypatch):
+    """Chunks and recipes come from one pass, nothing else stays, and no memo outlives its store."""
+
+    def refused(*_):
+        raise AssertionError("a staged table")
+
+    monkeypatch.setattr(content_store, "work_path", refused)
+    for name, docs in (("odd", odd), ("empty", empty)):
+        content_store.write_store(docs, f"file://{tmp_path}/{name}", queries.tokenizer_path(), 2)
+        assert sorted(p.name for p in (tmp_path / name).iterdir()) == ["chunks", "manifest", "recipes", "shards"]
+        assert spark.read.parquet(f"file://{tmp_path}/{name}/chunks").columns == ["hash", "n_ids", "payload"]
+        got = content_store.store_digests(spark, f"file://{tmp_path}/{name}").collect()
+        assert len(got) == docs.count() and all(r.intact for r in got)
+    assert content_store.library_encoder(queries.tokenizer_path(), "a") is not content_store.library_encoder(queries.tokenizer_path(), "b")
+
+
+def test_chunks_of_many_texts_are_those_of_each(library):
+    texts = ["", "a", LONG, "word " * 31, "word " * 32, *(LONG[i:] for i in range(0, 90, 7)), None]
+    batch = pa.RecordBatch.from_pydict({"row": [*range(len(texts))], "doc_id": [None, -5, *range(len(texts) - 2)], "text": pa.array(texts, pa.string())})
+    out = content_store._encode(content_store.library_encoder(queries.tokenizer_path(), "many"), batch, 2, "<u2").to_pylist()
+    want = []
+    for t in texts:
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u2")
+        cuts = content_store.cut_points(ids)
+        want += [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)]
+    assert [r["payload"] for r in out if not r["doc"]] == want and sum(r["doc"] for r in out) == len(texts)
+
+
 def test_chunks_resist_insertion():
     ids = np.random.default_rng(1).integers(0, 50_000, 20_000)
     pieces = lambda x: {hashlib.sha256(x[a:b].tobytes()).digest() for a, b in zip([0, *content_store.cut_points(x)], content_store.cut_points(x))}
@@ -112,6 +163,12 @@ def test_crc_of_parts():
     assert int(moved[0] ^ moved[1]) == zlib.crc32(a + b)
 
 
+def test_crc_of_long_parts():
+    for n in (0, 1, 2, 255, 4096, 100_003):
+        (moved,) = content_store.crc_moved(np.array([zlib.crc32(b"start")]), np.array([n]))
+        assert int(moved) == zlib.crc32(b"start" + bytes(n)) ^ zlib.crc32(bytes(n))
+
+
 def test_media(spark, odd):
     rows = media.media_digests(odd).collect()
     assert len(rows) == len(ODD)
